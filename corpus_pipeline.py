@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.decontaminate import decontaminate
 from loomspark.llm.neardup import near_duplicates
+from loomspark.llm.packing import pack_documents
+from loomspark.llm.pii import mask
+from loomspark.llm.queries import vocabulary
 from loomspark.llm.text import stored, table
 from loomspark.llm.toxicity import fit, score
 
@@ -30,7 +34,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words lie in benchmark windows leave."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text, the other columns stay."""
+    masked = mask(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences of at most 2048 tokens."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
