@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, pii
+from loomspark.llm import decontaminate, pii, quality, tokens, warc
 from loomspark.llm.neardup import near_duplicates
 from loomspark.llm.packing import pack_documents
 from loomspark.llm.text import table
@@ -36,11 +36,27 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    return tokens.by_section(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, rule="first")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_packing, op5_personal_data, op9_toxicity)
+    f.__name__: f
+    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op5_personal_data, op6_quality_rules, op7_warc, op9_toxicity, op10_token_counts)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op7_warc": warc.SQL}
