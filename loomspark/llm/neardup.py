@@ -10,8 +10,9 @@ label spreading over the links alone.
 No bucket is expanded to its pairs. Documents of equal sets are one class, its smallest key standing for it. A
 document can have a link only if at most a share 1 - t of its shingles occurs in no other candidate (since
 |A and B| >= t |A or B| >= t |A|); others leave. In each bucket all members are compared to one hub, the
-member with the smallest share of such lone shingles. Only members whose component differs from their bucket's hub's
-are then compared to their bucket's other components, so no link is lost.
+member with the smallest share of such lone shingles. Members whose component differs from their hub's are
+then compared exactly, in blocks, to all members of the buckets whose hubs lie in that component, so no link is lost;
+a pair of blocks gives fewer links than it has rows.
 
 With 32 bands of 4 registers a pair at similarity 0.85 shares no bucket with probability below 1e-10, and fewer than
 ``MIN_BANDS`` with probability below 1e-7.
@@ -40,6 +41,8 @@ LIMIT = 65534
 ROWS = 4
 REGISTERS = 128
 MIN_BANDS = 3
+#: Rows of a block where the members of a large group are compared exactly.
+BLOCK = 256
 
 _RNG = np.random.Generator(np.random.PCG64(4141))
 _TIMES = (_RNG.integers(1, 2**31, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -130,6 +133,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _exact_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """A boolean matrix: which of the sets a (sorted distinct hashes) are linked with which of the sets b."""
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, item, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    shared = count[item] > 1
+    rows, item = rows[shared], item[shared]
+    _, item = np.unique(item, return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    rows, item = rows[order], item[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
+        x, y = np.searchsorted(item, [at, at + 4096])
+        has = np.zeros((len(a) + len(b), 4096), np.float32)
+        has[rows[x:y], item[x:y] - at] = 1
+        both += has[: len(a)] @ has[len(a) :].T
+    size = np.array([len(x) for x in (*a, *b)])
+    union = size[: len(a), None] + size[None, len(a) :] - both
+    return 100 * both >= percent * union
+
+
+def _within_families(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each family's outer members (c differs from f) with members of other components.
+
+    Outer members and members are dealt to blocks of about ``BLOCK``; each pair of blocks is one group, in which sets
+    are compared exactly and links that join what earlier ones have joined are left out, so a group gives fewer links
+    than it has rows.
+    """
+    size = family.groupBy("f").agg(F.count("*").alias("m"), F.sum((F.col("c") != F.col("f")).cast("long")).alias("o")).filter("o > 0")
+    dealt = family.join(size, "f").withColumns({"mb": F.ceil(F.col("m") / BLOCK).cast("int"), "ob": F.ceil(F.col("o") / BLOCK).cast("int")})
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "k"), F.col(n)).cast("int")
+    outer = dealt.filter("c <> f").select("f", "k", "c", F.lit(True).alias("outer"), own(1, "ob").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
+    inner = dealt.select("f", "k", "c", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), own(2, "mb").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf["outer"].to_numpy(bool)
+        a, b = pdf[out], pdf[~out]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": pdf["k"].iloc[:0], "b": pdf["k"].iloc[:0]})
+        linked = _exact_links(list(a["h"]), list(b["h"]), percent)
+        part: dict = {}
+
+        def root(x):
+            while part.setdefault(x, x) != x:
+                part[x] = x = part[part[x]]
+            return x
+
+        found = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = root(a["c"].iat[i]), root(b["c"].iat[j])
+            if x != y:
+                part[x] = y
+                found.append((a["k"].iat[i], b["k"].iat[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    kind = family.schema["k"].dataType.simpleString()
+    return outer.unionByName(inner).join(sets, "k").groupBy("f", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(k, c): the smallest key that each node reaches over links (a, b), itself included.
 
@@ -174,15 +235,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first = member.join(hub, "g").filter("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct()
     links = stored(_confirmed(first, sets, percent), "links-hub")
     part = stored(components(links, able.select("k")), "parts")
-    # members outside their hub's component, against the other components of their bucket
+    # members outside their hub's component, against all members of the buckets whose hubs are in that component
     placed = member.select("g", "k").join(part, "k").join(hub.join(part.select(F.col("k").alias("hub"), F.col("c").alias("hc")), "hub"), "g")
-    placed = stored(placed.select("g", "k", "c", "hc"), "placed")
-    rest = placed.filter("c <> hc").select("g", F.col("k").alias("a"), F.col("c").alias("ca"))
-    others = placed.join(rest.select("g").distinct(), "g", "left_semi").select("g", F.col("k").alias("b"), F.col("c").alias("cb"))
-    second = rest.join(others, "g").filter(F.col("ca") != F.col("cb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # pairs with each bucket's hub are done
-    second = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(_confirmed(second, sets, percent))
+    family = stored(placed.select(F.col("hc").alias("f"), "k", "c").distinct(), "families")
+    links = links.union(_within_families(family, sets.select("k", "h"), percent))
     found = stored(components(links, classes.select("k")), "components")
     of_class = classes.join(found, "k").select("s1", "s2", "c")
     out = seen.join(of_class, ["s1", "s2"], "left").withColumn("c", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("k")))
