@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, pii, quality, tokens, warc
+from loomspark.llm import decontaminate, pii, quality, suffixes, tokens, warc
 from loomspark.llm.neardup import near_duplicates
 from loomspark.llm.packing import pack_documents
 from loomspark.llm.text import table
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op5_personal_data, op6_quality_rules, op7_warc, op9_toxicity, op10_token_counts)
+    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op4_suffix_dedup, op5_personal_data, op6_quality_rules, op7_warc, op9_toxicity, op10_token_counts)
 }
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op7_warc": warc.SQL}
