@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, pii, quality, suffixes, tokens, warc
+from loomspark.llm import decontaminate, passages, pii, quality, suffixes, tokens, warc
 from loomspark.llm.neardup import near_duplicates
 from loomspark.llm.packing import pack_documents
 from loomspark.llm.text import table
@@ -48,6 +48,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"), least_words=50, percent=80)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op4_suffix_dedup, op5_personal_data, op6_quality_rules, op7_warc, op9_toxicity, op10_token_counts)
+    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op4_suffix_dedup, op5_personal_data, op6_quality_rules, op7_warc, op8_passages, op9_toxicity, op10_token_counts)
 }
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op7_warc": warc.SQL}
