@@ -1 +1 @@
-"""Functions."""
+"""Scalar rules: quotas, coverage counts, step grids, seeded order."""

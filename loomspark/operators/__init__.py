@@ -1 +1 @@
-"""Operators."""
+"""Relational and learning operators over DataFrames."""
