@@ -36,7 +36,7 @@ def candidates(df: DataFrame, key: str, label: str, size: dict[int, int], rounds
     Draws are dealt like cards. In a cycle every row of a class has been seen equally often and is ranked once, by the
     seeded order of the cycle; draw r takes ranks r * size to (r + 1) * size - 1 counted over all cycles. A draw that
     straddles two cycles takes the end of one and the start of the next; a row that would come twice in it gives its
-    second place to nobody, so such a draw may be smaller by those few rows. Counts within a class differ by 1 at most.
+    second place to nobody, so such a draw may be smaller by those few rows. Counts within a class differ by 2 at most.
     """
     n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect() if r[label] in size}
     out = None

@@ -1 +1 @@
-"""Streaming."""
+"""Streams."""
