@@ -276,7 +276,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, base counts by kind, base_sha256, spans (all, as kind:start:end), n_added."""
     found = find(docs.select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
-    count = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = [of(k) for k in KINDS]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"))
 
