@@ -1,20 +1,23 @@
 """Substring deduplication with suffix arrays: bytes covered by a string that also starts in an earlier document go.
 
 Strings of ``length`` bytes are dealt out so that equal ones meet: each start belongs to the smallest hash among the
-``GRAM``-byte grams of its string (its anchor), and a run of starts with one anchor travels as one segment. Segments
-are packed by anchor into compressed blocks, equal ones of a block once, with the places where they occur.
+``GRAM``-byte grams of its string (its anchor), and a run of starts with one anchor travels as one segment. First only
+the anchors' fingerprints are dealt out, and those that two documents have are told to the documents' groups. Then the
+segments of these anchors are packed by anchor into compressed blocks, equal ones of a block once, with the places
+where they occur.
 
-Where the blocks of a bucket meet, anchors found in one document only are put aside. The suffixes of all other distinct
-segments are put in order by deep-shallow sorting: multikey refinement, ``SHALLOW`` words of eight bytes deep, then
-a blind trie for each group that still agrees. Neighbours that agree for ``length`` bytes are one string; its smallest
-document keeps it, and its places in other documents are given back as spans.
+Where the blocks of a bucket meet, the suffixes of all distinct segments are put in order by deep-shallow sorting:
+multikey refinement, ``SHALLOW`` words of eight bytes deep, then a blind trie for each group that still agrees.
+Neighbours that agree for ``length`` bytes are one string; its smallest document keeps it, and its places in other
+documents are given back as spans. Whatever goes back to documents is packed by groups of documents, which hold
+1 / spark.sql.shuffle.partitions of them; texts are shuffled once.
 
 Every segment holds at most 2 * length bytes. A string that a third of all documents share costs its bucket one segment
 per block and a few bytes per place, not its text again.
 
 Defined results: a null text is empty; a null key removes nothing and loses nothing; rows of one key are one
 document to each other, whether their texts agree or not; texts shorter than ``length`` stay whole; an empty table gives
-an empty result; other columns are ignored by ``digest`` and kept by ``deduplicate``.
+an empty result; other columns are ignored by ``digest`` and kept by ``deduplicate`` (its own replaces a clashing one).
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ LENGTH = 50
 GRAM = 16
 SHALLOW = 3
 #: Buckets for each shuffle partition, so that tasks get much the same.
-BUCKETS = 4
+BUCKETS = 2
 _CHUNK = 1 << 21
 
 _ODD = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,57 +98,114 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return owner[first], first, last - first + length, anchor[first], grams[anchor[first]], content
 
 
-def _pack(head: np.ndarray, *arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.astype("<i8").tobytes(), *(a.tobytes() for a in arrays)]))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block: their lengths, then their bytes."""
+    head = np.array([a.nbytes for a in arrays], "<i8")
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
 
 
-def _blocks(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(b, block) of rows (k long, tag int, t): the segments of bucket b from some texts."""
+def _unpack(blocks: list[bytes], kinds: tuple[str, ...], steps: int) -> list[np.ndarray]:
+    """The arrays of all blocks, joined; array number ``steps`` holds differences of keys."""
+    got: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for block in blocks:
+        raw = zstandard.ZstdDecompressor().decompress(block)
+        at = 8 * len(kinds)
+        for i, size in enumerate(np.frombuffer(raw, "<i8", len(kinds)).tolist()):
+            x = np.frombuffer(raw, kinds[i], size // np.dtype(kinds[i]).itemsize, at)
+            got[i].append(np.cumsum(x) if i == steps else x)
+            at += size
+    return [np.concatenate(x) for x in got]
+
+
+def _table(number: list[int] | np.ndarray, blocks: list[bytes], name: str) -> pa.Table:
+    return pa.table({name: pa.array(number, pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+
+def _dealt(part: np.ndarray, order: np.ndarray, pack) -> tuple[list[int], list[bytes]]:
+    """One block for each part number, of its rows in ``order`` (which sorts by part)."""
+    sorted_ = part[order]
+    edge = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else np.zeros(0, np.int64)
+    stop = np.append(edge[1:], len(order))
+    return sorted_[edge].tolist(), [pack(order[a:b]) for a, b in zip(edge, stop, strict=True)]
+
+
+def _steps(key: np.ndarray) -> np.ndarray:
+    return np.diff(key, prepend=0).astype("<i8")
+
+
+def group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a key belongs to; the same as the column that ``_rows`` makes."""
+    return (key ^ (key >> 16)) % groups
+
+
+_ANCHOR = ("<u4", "<i8", "<u2", "<u4")
+_PLACE = ("<i8", "<u2", "<u4")
+_SPAN = ("<i8", "<u2", "<u4", "<u4")
+_SEGMENT = ("<u2", "<u2", "<i4", "<i8", "<u2", "<u4", "u1")
+
+
+def _anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(b, block) of rows (k, tag, t): fingerprints of anchors with key, tag and start of their segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b, data, offsets in chunks(batch.column(2), _CHUNK):
-                text, start, size, anchor, gram, content = segments(data, offsets, length)
+            for a, _, data, offsets in chunks(batch.column(2), _CHUNK):
+                text, start, _, _, gram, _ = segments(data, offsets, length)
                 bucket = ((gram & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-                # equal segments together, buckets apart, places by text and start
-                order = np.lexsort((start, content, gram, bucket))
-                bucket, gram, content = bucket[order], gram[order], content[order]
-                text, start, size, anchor = text[order], start[order], size[order], anchor[order]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (bucket[1:] != bucket[:-1]) | (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                key, tag, begin = keys[a + text], tags[a + text].astype("<u2"), (start - offsets[text]).astype("<u4")
-                out_b, out = [], []
-                for i in np.flatnonzero(np.diff(edges)):
-                    x, y = edges[i], edges[i + 1]
-                    one = np.flatnonzero(new[x:y]) + x
-                    times = np.diff(np.append(one, y)).astype("<i4")
-                    step = np.diff(key[x:y], prepend=0).astype("<i8")
-                    body = _gather(data, start[one], size[one])
-                    out_b.append(i)
-                    out.append(_pack(np.array([len(one), y - x]), size[one].astype("<u2"), (anchor[one] - start[one]).astype("<u2"), times, step, tag[x:y], begin[x:y], body))
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], ["b", "block"])
-
-    return docs.mapInArrow(run, "b int, block binary")
-
-
-def _unpack(blocks: list[bytes]) -> dict[str, np.ndarray]:
-    """Segments (size, anchor, data) and places (segment, key, tag, start) of all blocks."""
-    got: dict[str, list[np.ndarray]] = {k: [] for k in ("size", "anchor", "times", "key", "tag", "start", "data")}
-    for block in blocks:
-        raw = zstandard.ZstdDecompressor().decompress(block)
-        n, m = np.frombuffer(raw, "<i8", 2).tolist()
-        at = 16
-        for name, kind, count in (("size", "<u2", n), ("anchor", "<u2", n), ("times", "<i4", n), ("key", "<i8", m), ("tag", "<u2", m), ("start", "<u4", m), ("data", "u1", len(raw))):
-            count = len(raw) - at if name == "data" else count
-            x = np.frombuffer(raw, kind, count, at)
-            at += x.nbytes
-            got[name].append(np.cumsum(x) if name == "key" else x)
-    out = {k: np.concatenate(v) for k, v in got.items()}
-    out["size"], out["anchor"], out["start"] = (out[k].astype(np.int64) for k in ("size", "anchor", "start"))
-    out["segment"] = np.repeat(np.arange(len(out["times"])), out["times"])
-    return out
+                key, tag, begin, print_ = keys[a + text], tags[a + text].astype("<u2"), (start - offsets[text]).astype("<u4"), (gram >> np.uint64(32)).astype("<u4")
+                number, blocks = _dealt(bucket, np.argsort(bucket, kind="stable"), lambda x: _pack(print_[x], _steps(key[x]), tag[x], begin[x]))  # noqa: B023
+                yield _table(number, blocks, "b").combine_chunks().to_batches()[0] if number else pa.RecordBatch.from_pydict({"b": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
+
+    return rows.mapInArrow(run, "b int, block binary")
+
+
+def _shared(blocks: list[bytes], groups: int) -> pa.Table:
+    """(g, block): the places of a bucket's anchors that two documents have, packed by group of documents."""
+    print_, key, tag, start = _unpack(blocks, _ANCHOR, 1)
+    order = np.argsort(print_, kind="stable")
+    at = np.flatnonzero(np.append(True, print_[order][1:] != print_[order][:-1]))
+    shared = np.minimum.reduceat(key[order], at) != np.maximum.reduceat(key[order], at)
+    kept = order[np.repeat(shared, np.diff(np.append(at, len(order))))]
+    key, tag, start = key[kept], tag[kept], start[kept]
+    g = group_of(key, groups)
+    return _table(*_dealt(g, np.lexsort((start, tag, key, g)), lambda x: _pack(_steps(key[x]), tag[x], start[x])), "g")
+
+
+def _cut(docs: pa.Table, blocks: list[bytes], length: int, buckets: int) -> pa.Table:
+    """(b, block): the segments of a group of documents (k, tag, t) at the given places, packed by anchor."""
+    key, tag, start = _unpack(blocks, _PLACE, 0)
+    if not len(key):
+        return _table([], [], "b")
+    rows: dict[tuple[int, int], int] = {}
+    for i, pair in enumerate(zip(docs.column("k").to_pylist(), docs.column("tag").to_pylist(), strict=True)):
+        rows.setdefault(pair, i)  # rows of one key and tag have one text
+    change = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])))
+    row = [rows[int(key[i]), int(tag[i])] for i in change]
+    wanted = np.unique((np.repeat(row, np.diff(np.append(change, len(key)))).astype(np.int64) << 32) | start)
+    keys, tags = docs.column("k").to_numpy(), docs.column("tag").to_numpy()
+    numbers: list[int] = []
+    out: list[bytes] = []
+    for a, _, data, offsets in chunks(docs.column("t"), 2 * _CHUNK):
+        text, start, size, anchor, gram, content = segments(data, offsets, length)
+        code = ((a + text) << 32) | (start - offsets[text])
+        hit = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+        text, start, size, anchor, gram, content = (x[hit] for x in (text, start, size, anchor, gram, content))
+        bucket = ((gram & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        own, own_tag, begin = keys[a + text], tags[a + text].astype("<u2"), (start - offsets[text]).astype("<u4")
+
+        def pack(x: np.ndarray) -> bytes:
+            same = (gram[x][1:] == gram[x][:-1]) & (content[x][1:] == content[x][:-1])  # noqa: B023
+            at = np.flatnonzero(np.append(True, ~same))
+            one = x[at]
+            times = np.diff(np.append(at, len(x))).astype("<i4")
+            return _pack(size[one].astype("<u2"), (anchor[one] - start[one]).astype("<u2"), times, _steps(own[x]), own_tag[x], begin[x], _gather(data, start[one], size[one]))  # noqa: B023
+
+        # equal segments together, their places by text and start
+        n, b = _dealt(bucket, np.lexsort((start, content, gram, bucket)), pack)
+        numbers += n
+        out += b
+    return _table(numbers, out, "b")
 
 
 def shallow_groups(words: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,31 +306,19 @@ def suffix_classes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarr
     return out
 
 
-def removed(blocks: list[bytes], length: int) -> pd.DataFrame:
-    """(k, tag, spans) for the documents of a bucket that lose bytes: spans are start, end, start, end and so on."""
-    nothing = pd.DataFrame({"k": np.zeros(0, np.int64), "tag": np.zeros(0, np.int32), "spans": []})
-    g = _unpack(blocks)
-    offset = np.cumsum(g["size"]) - g["size"]
-    # anchors that two documents have
-    w = _words(np.append(g["data"], np.zeros(8, np.uint8)))
-    gram = _hash(w, offset + g["anchor"], GRAM)
-    edge = np.append(0, np.cumsum(g["times"]))[:-1]
-    low, high = np.minimum.reduceat(g["key"], edge), np.maximum.reduceat(g["key"], edge)
-    order = np.argsort(gram, kind="stable")
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = gram[order][1:] != gram[order][:-1]
-    at = np.flatnonzero(new)
-    shared = np.minimum.reduceat(low[order], at) != np.maximum.reduceat(high[order], at)
-    kept = order[shared[np.cumsum(new) - 1]]
-    if not len(kept):
-        return nothing
+def removed(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, tag, start, end) of the spans that the documents of a bucket lose."""
+    size, anchor, times, key, tag, start, body = _unpack(blocks, _SEGMENT, 3)
+    size, start = size.astype(np.int64), start.astype(np.int64)
+    segment = np.repeat(np.arange(len(times)), times)
+    offset = np.cumsum(size) - size
+    low = np.minimum.reduceat(key, np.append(0, np.cumsum(times))[:-1])
     # distinct segments and the smallest document of each
-    text = g["data"].tobytes()
+    text = body.tobytes()
     number: dict[bytes, int] = {}
-    of = np.full(len(g["size"]), -1)
-    of[kept] = [number.setdefault(text[a : a + n], len(number)) for a, n in zip(offset[kept].tolist(), g["size"][kept].tolist(), strict=True)]
+    of = np.array([number.setdefault(text[a : a + n], len(number)) for a, n in zip(offset.tolist(), size.tolist(), strict=True)])
     least = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(least, of[kept], low[kept])
+    np.minimum.at(least, of, low)
     size = np.fromiter(map(len, number), np.int64, len(number))
     data = np.frombuffer(b"".join(number), np.uint8)
     begin = np.cumsum(size) - size
@@ -284,29 +331,25 @@ def removed(blocks: list[bytes], length: int) -> pd.DataFrame:
     np.minimum.at(keeper, cls, own)
     keeper = keeper[cls]
     # each place's strings whose keeper is another, smaller document
-    place = np.flatnonzero(of[g["segment"]] >= 0)
-    seg = of[g["segment"][place]]
+    seg = of[segment]
     n = starts[seg]
     base = np.cumsum(n) - n
     step = np.arange(int(n.sum())) - np.repeat(base, n)
-    gone = keeper[np.repeat((np.cumsum(starts) - starts)[seg], n) + step] < np.repeat(g["key"][place], n)
+    gone = keeper[np.repeat((np.cumsum(starts) - starts)[seg], n) + step] < np.repeat(key, n)
     rise = gone.copy()
     rise[1:] &= ~(gone[:-1] & (step[1:] > 0))
     fall = gone.copy()
     fall[:-1] &= ~(gone[1:] & (step[1:] > 0))
     a, b = np.flatnonzero(rise), np.flatnonzero(fall)
-    if not len(a):
-        return nothing
-    who = np.repeat(place, n)[a]
-    key, tag, from_ = g["key"][who], g["tag"][who].astype(np.int32), g["start"][who] + step[a]
-    to = g["start"][who] + step[b] + length
-    order = np.lexsort((from_, tag, key))
-    key, tag = key[order], tag[order]
-    pairs = np.stack([from_[order], to[order]], 1)
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
-    at = np.flatnonzero(new)
-    return pd.DataFrame({"k": key[at], "tag": tag[at], "spans": [x.ravel() for x in np.split(pairs, at[1:])]})
+    who = np.repeat(np.arange(len(key)), n)[a]
+    return key[who], tag[who], start[who] + step[a], start[who] + step[b] + length
+
+
+def _lost(blocks: list[bytes], length: int, groups: int) -> pa.Table:
+    """(g, block): the spans of ``removed``, packed by group of documents."""
+    key, tag, start, end = removed(blocks, length)
+    g = group_of(key, groups)
+    return _table(*_dealt(g, np.lexsort((start, tag, key, g)), lambda x: _pack(_steps(key[x]), tag[x], start[x].astype("<u4"), end[x].astype("<u4"))), "g")
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -319,45 +362,67 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([s[at, 0], end[np.append(at[1:], len(s)) - 1]], 1)
 
 
-def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with a column _spans: start, end, start, end and so on of the bytes to remove, or null."""
-    if length < GRAM:
-        raise ValueError(f"strings have {GRAM} bytes at least")
-    spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = F.col(f"`{key}`")
+def _rows(docs: DataFrame, key: str, text: str, groups: int) -> DataFrame:
+    """``docs`` with k, tag, t and g, the group of documents."""
+    k = F.col(f"`{key}`").cast("long")
     again = not docs.filter(k.isNotNull()).groupBy(k).agg(F.count("*").alias("m")).filter("m > 1").isEmpty()
     # rows of one key are told apart by 16 bits of their text's hash, where there are such rows
     tag = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1 << 16)).cast("int") if again else F.lit(0)
-    rows = docs.filter(k.isNotNull()).select(k.cast("long").alias("k"), tag.alias("tag"), F.col(f"`{text}`").alias("t"))
-    found = (
-        _blocks(rows, length, buckets).groupBy("b")
-        .applyInPandas(lambda pdf: removed(list(pdf["block"]), length), "k long, tag int, spans array<long>")
-        .groupBy("k", "tag").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    )
-    out = docs.withColumns({"_k": k.cast("long"), "_tag": tag}).join(found.withColumnsRenamed({"k": "_k", "tag": "_tag"}), ["_k", "_tag"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    g = F.pmod(F.coalesce(k.bitwiseXOR(F.shiftright(k, 16)), F.xxhash64(F.col(f"`{text}`"))), F.lit(groups)).cast("int")
+    return docs.select(k.alias("k"), tag.alias("tag"), F.col(f"`{text}`").alias("t"), g.alias("g"), *[F.col(f"`{c}`") for c in docs.columns if c not in (key, text)])
+
+
+def with_spans(docs: DataFrame, finish, schema: str | T.StructType, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``finish(rows, spans)`` over groups of documents.
+
+    ``rows`` is an Arrow table of the group's rows (k the key, t the text, and the other columns of ``docs``), ``spans``
+    a list with each row's (start, end) spans to remove, or None.
+    """
+    if length < GRAM:
+        raise ValueError(f"strings have {GRAM} bytes at least")
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * groups
+    rows = _rows(docs, key, text, groups)
+    blocks = lambda t: t.column("block").to_pylist()
+    anchors = _anchors(rows.filter("k IS NOT NULL").select("k", "tag", "t"), length, buckets)
+    places = anchors.groupBy("b").applyInArrow(lambda t: _shared(blocks(t), groups), "g int, block binary")
+    parts = rows.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(lambda d, t: _cut(d, blocks(t), length, buckets), "b int, block binary")
+    lost = parts.groupBy("b").applyInArrow(lambda t: _lost(blocks(t), length, groups), "g int, block binary")
+
+    def end(docs: pa.Table, found: pa.Table) -> pa.Table:
+        key, tag, start, stop = _unpack(blocks(found), _SPAN, 0)
+        order = np.lexsort((tag, key))
+        key, tag, pairs = key[order], tag[order], np.stack([start, stop], 1).astype(np.int64)[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]))) if len(key) else np.zeros(0, np.int64)
+        own = {(int(key[i]), int(tag[i])): x for i, x in zip(at, np.split(pairs, at[1:]), strict=bool(len(at)))} if len(at) else {}
+        return finish(docs, [own.get(x) for x in zip(docs.column("k").to_pylist(), docs.column("tag").to_pylist(), strict=True)])
+
+    return rows.groupBy("g").cogroup(lost.groupBy("g")).applyInArrow(end, schema)
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with a binary column kept_bytes: each text's bytes without the removed ones."""
-    m = marked(docs.drop("kept_bytes"), key=key, text=text, length=length)
-    names = m.columns
+    docs = docs.drop("kept_bytes")
+    clash = {c: f"_own_{c}" for c in ("k", "tag", "t", "g") if c in docs.columns and c not in (key, text)}
+    source = {key: "k", text: "t"}
+    schema = T.StructType([*docs.schema, T.StructField("kept_bytes", T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_kept(t, s)[0] for t, s in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index("_spans")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*names[:-1], "kept_bytes"])
+    def finish(rows: pa.Table, spans: list) -> pa.Table:
+        kept = pa.array([_kept(t, s)[0] for t, s in zip(rows.column("t").to_pylist(), spans, strict=True)], pa.binary())
+        return pa.table([*(rows.column(source.get(c) or clash.get(c, c)) for c in schema.names[:-1]), kept], schema.names)
 
-    return m.mapInArrow(run, T.StructType([*m.schema[:-1], T.StructField("kept_bytes", T.BinaryType())]))
+    renamed = docs.withColumnsRenamed(clash)
+    wide = T.StructType([T.StructField(f.name, T.LongType() if f.name == key else f.dataType) for f in schema])
+    out = with_spans(renamed, finish, wide, key=key, text=text, length=length)
+    return out.withColumn(key, F.col(f"`{key}`").cast(docs.schema[key].dataType))
 
 
-def _kept(text: str | None, spans: list[int] | None) -> tuple[bytes, int, int]:
+def _kept(text: str | None, spans: np.ndarray | None) -> tuple[bytes, int, int]:
     """What stays, bytes removed, runs removed."""
     data = (text or "").encode()
     if spans is None:
         return data, 0, 0
-    runs = _merged(np.array(spans, np.int64).reshape(-1, 2)).tolist()
+    runs = _merged(spans).tolist()
     out, at = [], 0
     for a, b in runs:
         out.append(data[at:a])
@@ -367,19 +432,17 @@ def _kept(text: str | None, spans: list[int] | None) -> tuple[bytes, int, int]:
 
 def digest(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    m = marked(docs.select("doc_id", "text"), length=length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, gone, runs = _kept(t, s)
-                rows.append((len(data) + gone, gone, runs, hashlib.sha256(data).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return m.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def finish(rows: pa.Table, spans: list) -> pa.Table:
+        out = []
+        for t, s in zip(rows.column("t").to_pylist(), spans, strict=True):
+            data, gone, runs = _kept(t, s)
+            out.append((len(data) + gone, gone, runs, hashlib.sha256(data).hexdigest()))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table([rows.column("k"), *(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = with_spans(docs.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length=length)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
