@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, passages, pii, quality, suffixes, tokens, warc
+from loomspark.llm import decontaminate, oracles, passages, pii, quality, suffixes, tokens, warc
 from loomspark.llm.neardup import near_duplicates
 from loomspark.llm.packing import pack_documents
 from loomspark.llm.text import table
@@ -67,4 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontamination, op2_near_duplicates, op3_packing, op4_suffix_dedup, op5_personal_data, op6_quality_rules, op7_warc, op8_passages, op9_toxicity, op10_token_counts)
 }
-SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op7_warc": warc.SQL}
+SQL: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op6_quality_rules": quality.SQL,
+    "op7_warc": warc.SQL,
+}
