@@ -181,14 +181,22 @@ def contaminated() -> Column:
     return (hit_words() > 0) & (20 * hit_words() >= F.col("n_words"))
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named like annotations renamed, and their new names to the old ones."""
+    names = {c: f"_own_{c}" for c in ("n_words", "spans", "items") if c in docs.columns}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 13) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    return annotate(docs.select("*"), items, size=size).filter(~contaminated()).select(*docs.columns)
+    own, back = _aside(docs)
+    return annotate(own, items, size=size).filter(~contaminated()).select(*own.columns).withColumnsRenamed(back)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int = 13) -> DataFrame:
     """``docs`` with each hit span cut out of the text, in place of dropping documents."""
-    marked = annotate(docs, items, text=text, size=size)
+    own, back = _aside(docs)
+    marked = annotate(own, items, text=text, size=size)
     at = marked.columns.index(text)
     spans_at = marked.columns.index("spans")
 
@@ -206,7 +214,7 @@ def without_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", size
                     texts[i] = data[keep].tobytes().decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return marked.mapInArrow(run, marked.schema).select(*docs.columns)
+    return marked.mapInArrow(run, marked.schema).select(*own.columns).withColumnsRenamed(back)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("word length", "mean_word_chars", 3, 10),
     ("symbols to words", "symbol_ratio", None, 0.1),
     ("stop words", "n_stop_words", 2, None),
-    ("repeated lines", "dup_line_ratio", None, 0.3),
+    ("repeated lines", "dup_line_ratio", None, 0.5),
     ("bullet lines", "bullet_line_ratio", None, 0.9),
     ("lines that trail off", "ellipsis_line_ratio", None, 0.3),
 )
@@ -134,7 +134,7 @@ m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words BETWEEN 20 AND 1000000 AND word_chars BETWEEN 3 * n_words AND 10 * n_words
-       AND 10 * n_symbols <= n_words AND n_stop_words >= 2 AND 10 * n_dup_lines <= 3 * n_lines
+       AND 10 * n_symbols <= n_words AND n_stop_words >= 2 AND 10 * n_dup_lines <= 5 * n_lines
        AND 10 * n_bullets <= 9 * n_lines AND 10 * n_ellipses <= 3 * n_lines AS kept
 FROM b
 """
