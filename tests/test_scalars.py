@@ -20,7 +20,7 @@ from loomspark.functions import scalars as S
         ((60000, 200000), {}, (3000, 10000)),
         ((15, 200000), {"max_samples": 500, "least": 0.00001}, (15, 500)),
         ((25, 1000), {"max_samples": 100, "least": 0.02}, (25, 100)),
-        ((10, 400), {"max_samples": 100, "least": 0.03}, (10, 333)),
+        ((10, 400), {"max_samples": 100, "least": 0.03}, (10, 100)),
     ],
 )
 def test_quota(args, kw, want):
