@@ -4,9 +4,9 @@ Writing: a page's HTML becomes an HTTP message with chunked transfer framing, in
 with equal payloads only the one with the smallest key is written as response, the others as revisit records that
 refer to it. A block longer than ``segment`` bytes is cut: the first part stays in the response record, continuation
 records carry the others with the origin's identifier, their number and, in the last, the total length. Spark's text
-writer puts the records of a partition into archives (records end in CR LF CR LF, which is its line separator).
+writer puts the records of a partition into gzipped archives (records end in CR LF CR LF, which is its line separator).
 
-Reading: archives are read as binary files. Records of one segment are complete; the segments of others are grouped
+Reading: archives, gzipped or not, are read as binary files. Records of one segment are complete; the segments of others are grouped
 by origin identifier, ordered by number and verified against the total length before the transfer framing is decoded
 and the payload's digest is checked.
 
@@ -21,6 +21,7 @@ Segments that are missing, doubled or of another total length raise an error.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -125,11 +126,13 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(encode, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    rows.mapInArrow(encode, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record."""
+    """(fields, block) of each record of an archive, gzipped as a whole, record by record, or not at all."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
