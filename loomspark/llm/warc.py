@@ -175,14 +175,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def reassembled(found: DataFrame) -> DataFrame:
     """Records with whole blocks: segments grouped by origin, ordered by number, their total length verified."""
-    part = F.struct("number", "key", "type", "refers", "digest", "size", "total", "block")
-    groups = found.filter("origin IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    block = F.aggregate("p", F.lit("").cast("binary"), lambda a, s: F.concat(a, s["block"]))
-    last = F.element_at("p", -1)
-    sound = (F.size("p") == last["number"]) & (F.element_at("p", 1)["number"] == 1) & (F.size(F.array_distinct(F.transform("p", lambda s: s["number"]))) == F.size("p"))
-    joined = groups.select(F.element_at("p", 1).alias("f"), last["total"].alias("total"), block.alias("block"), sound.alias("sound"))
+    groups = found.filter("origin IS NOT NULL").groupBy("origin").agg(
+        F.min_by(F.struct("key", "type", "refers", "digest", "size"), "number").alias("f"),
+        F.max_by("total", "number").alias("total"),
+        F.expr("listagg(block, X'') WITHIN GROUP (ORDER BY number)").alias("block"),
+        ((F.min("number") == 1) & (F.max("number") == F.count("*")) & (F.size(F.collect_set("number")) == F.count("*"))).alias("sound"),
+    )
     checked = F.when(F.col("sound") & (F.octet_length("block") == F.col("total")), F.col("block")).otherwise(F.raise_error(F.lit("segments missing, doubled or of another total length")).cast("binary"))
-    whole = joined.select("f.key", "f.type", "f.refers", "f.digest", "f.size", checked.alias("block"))
+    whole = groups.select("f.key", "f.type", "f.refers", "f.digest", "f.size", checked.alias("block"))
     return found.filter("origin IS NULL").select("key", "type", "refers", "digest", "size", "block").unionByName(whole)
 
 
