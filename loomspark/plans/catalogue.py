@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars as S
+from loomspark.models.base import Options, forest, logistic, platt, positive
+from loomspark.models.ensemble import BinaryClassifier
 from loomspark.operators import features as X
 from loomspark.operators import folds as K
 from loomspark.operators import metrics as M
@@ -449,3 +452,37 @@ def q_r2_mae_spearman(s: SparkSession, d: str) -> DataFrame:
     mean = o.groupBy("o_orderpriority").agg(F.round(F.avg("t"), 4).alias("g"))
     r = M.regression(o.join(F.broadcast(mean), "o_orderpriority"), "t", "g")  # a row for each priority
     return r.select(F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"), F.round("spearman", 6).alias("spearman"))
+
+
+# ---- fitted models: rows only, SQL cannot fit them
+
+
+def _reduced(s: SparkSession, d: str) -> DataFrame:
+    rows = X.vectors(emb(s, d), "embedding").select("vec_id", "y", "x")
+    return X.reducer(rows, "x", None).transform(rows).select("vec_id", "y", "z")
+
+
+@query()
+def q_logreg_scores(s: SparkSession, d: str) -> DataFrame:
+    rows = _reduced(s, d)
+    return positive(logistic(rows, "z", "y", 1.0), rows).select("vec_id", "y", F.round("p1", 6).alias("p1"))
+
+
+@query()
+def q_forest_scores(s: SparkSession, d: str) -> DataFrame:
+    rows = _reduced(s, d)
+    return positive(forest(rows, "z", "y", Options(max_depth=8)), rows).select("vec_id", "y", F.round("p1", 6).alias("p1"))
+
+
+@query()
+def q_platt(s: SparkSession, d: str) -> DataFrame:
+    raw = emb(s, d).select("vec_id", "y", S.logistic(4 * F.element_at("embedding", 1).cast("double")).alias("p"))
+    calibrated = platt(raw, "p", "y").transform(raw)
+    return calibrated.select("vec_id", "p", F.round(F.element_at(vector_to_array("_calibrated"), 2), 6).alias("p1"))
+
+
+@query()
+def q_ensemble_scores(s: SparkSession, d: str) -> DataFrame:
+    rows = emb(s, d)
+    model = BinaryClassifier("random_forest", "quick", key="vec_id", features="embedding", pca=False, max_depth=8).fit(rows)
+    return model.predict(rows).select("vec_id", "y", F.round("p1", 6).alias("p1"), "prediction")

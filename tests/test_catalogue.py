@@ -26,3 +26,10 @@ def test_equals_sql(spark, duck, name):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["q_logreg_scores", "q_forest_scores", "q_platt", "q_ensemble_scores"])
+def test_fitted_scores(spark, name):
+    rows = QUERIES[name](spark, FOLDER).collect()
+    assert len({r.vec_id for r in rows}) == len(rows) == spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+    assert all(0 <= r.p1 <= 1 for r in rows) and len({r.p1 for r in rows}) > 10
