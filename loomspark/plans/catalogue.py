@@ -485,4 +485,5 @@ def q_platt(s: SparkSession, d: str) -> DataFrame:
 def q_ensemble_scores(s: SparkSession, d: str) -> DataFrame:
     rows = emb(s, d)
     model = BinaryClassifier("random_forest", "quick", key="vec_id", features="embedding", pca=False, max_depth=8).fit(rows)
-    return model.predict(rows).select("vec_id", "y", F.round("p1", 6).alias("p1"), "prediction")
+    # not rounded: the quick preset calibrates in sample with a strong penalty, so probabilities lie close together
+    return model.predict(rows).select("vec_id", "y", "p1", "prediction")
