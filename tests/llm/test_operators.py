@@ -221,6 +221,32 @@ def test_plain_prose_gives_nothing():
         assert pii.all_spans(t) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("call plus 44 20 7946 0958 now", "phone"),
+        ("+1 oh oh 5 5 5 1 2 3 4 oh", "phone"),
+        ("+\u09e7 \u09e8\u09e9\u09ea \u09eb\u09ec\u09ed \u09ee\u09ef\u09e6\u09e6", "phone"),
+        ("card \u0e54\u0e51\u0e51\u0e51 1111 1111 1111", "card"),
+        ("\U0001d7dc111 1111 1111 1111", "card"),
+    ],
+)
+def test_disguises_need_no_other_cue(text, kind):
+    assert kind in [k for k, _, _ in pii.all_spans(text)[1]]
+
+
+def test_quick_look_passes_all_that_changes():
+    r = random.Random(5)
+    bits = "one two Oh ZERO nine double triple plus dot DOT at (at) [ dot ] <AT> { at} a@b 5 44 x fi\u0131ve f\u0131ve \u017fix \u09e7 \u0e54 \U0001d7dc \u0664 \uff11 \u00ad \u200b \u2011 \u2024 \u2212 \u0430 \u03bf \u00e9 \u0130 com é_ plus7".split()
+    changed = 0
+    for _ in range(20000):
+        t = "".join(r.choice(bits) + r.choice(["", " ", " ", " ", "-", ", ", "\n", "."]) for _ in range(r.randrange(1, 7)))
+        if pii.normalised(t).text != t:
+            changed += 1
+            assert pii._cue(t), t
+    assert changed > 5000
+
+
 def test_pii_rows(spark, odd):
     rows = odd.union(docs(spark, [(50, "mail a.b@c.de or 4111 1111 1111 1111, +1 (555) 555-0123 at 10.0.0.1")]))
     got = {r.doc_id: r for r in pii.digest(rows).collect()}
