@@ -316,6 +316,38 @@ def test_passages(spark, odd):
             assert (r.start, r.stop, r.similarity) == (90, 150, 1.0)
 
 
+def test_passages_do_not_depend_on_which_side_is_longer():
+    w = [f"w{i}" for i in range(84)]
+    longer = w[:42] + [f"x{i}" for i in range(10)] + w[42:]
+    for a, b in ((w, longer), (longer, w)):
+        span = {"low": 0, "high": len(b) - 5, "at": [0, len(b) - 5], "shift": [0, len(a) - len(b)]}
+        got = passages._verified(passages._shingles(" ".join(b)), passages._shingles(" ".join(a)), [span], 46, 80)
+        assert [(x, y, u, v) for x, y, u, v, _ in got] == [(0, len(b) - 4, 0, len(a) - 4)] and got[0][4] == 76 / 94
+
+
+def test_verification_finds_what_brute_force_finds():
+    r, width, some = random.Random(8), 8, 0
+    for n in range(300):
+        own = r.sample(range(1000), 22)
+        other = list(own)
+        for side in (own, other):
+            for _ in range(r.randrange(6)):
+                at = r.randrange(len(side))
+                side[at : at + r.choice([0, 1, 2])] = [1000 + r.randrange(10**6) for _ in range(r.choice([0, 1, 2, 4]))]
+        want = False
+        for x in range(len(own)):
+            for y in range(x + width, len(own) + 1):
+                if own[x] in other and own[y - 1] in other:
+                    a, b = set(own[x:y]), set(other[other.index(own[x]) : other.index(own[y - 1]) + 1])
+                    want |= 100 * len(a & b) >= 80 * len(a | b)
+        span = {"low": 0, "high": len(own) - 1, "at": [0], "shift": [0]}
+        got = passages._verified(np.array(own, np.uint64), np.array(other, np.uint64), [span], width, 80)
+        assert bool(got) == want, n
+        assert all(j >= 0.8 for *_, j in got)
+        some += want
+    assert 30 < some < 290
+
+
 def test_compact_windows_cover_every_long_range():
     h = np.random.default_rng(3).integers(0, 50, 60).astype(np.uint64)
     w = passages.compact_windows(h, 10)
