@@ -316,12 +316,23 @@ def test_passages(spark, odd):
             assert (r.start, r.stop, r.similarity) == (90, 150, 1.0)
 
 
+def test_passages_at_the_contract_similarity_are_found(spark):
+    rows = []
+    for i in range(150):
+        w = [f"p{i}x{j}" for j in range(56)]
+        other = list(w)
+        other[28] = f"y{i}"  # 47 of 52 shingles shared, 47 / 57 = 0.82; neither half is long enough alone
+        rows += [(2 * i, " ".join(words(5000 + i, 30) + w)), (2 * i + 1, " ".join(words(9000 + i, 20) + other))]
+    got = {r.doc_id: (r.source_id, r.start) for r in passages.near_duplicate_passages(docs(spark, rows)).collect()}
+    assert got == {2 * i + 1: (2 * i, 20) for i in range(150)}
+
+
 def test_passages_do_not_depend_on_which_side_is_longer():
     w = [f"w{i}" for i in range(84)]
     longer = w[:42] + [f"x{i}" for i in range(10)] + w[42:]
     for a, b in ((w, longer), (longer, w)):
         span = {"low": 0, "high": len(b) - 5, "at": [0, len(b) - 5], "shift": [0, len(a) - len(b)]}
-        got = passages._verified(passages._shingles(" ".join(b)), passages._shingles(" ".join(a)), [span], 46, 80)
+        got = passages._verified(passages._shingles(" ".join(b).encode()), passages._shingles(" ".join(a).encode()), [span], 46, 80)
         assert [(x, y, u, v) for x, y, u, v, _ in got] == [(0, len(b) - 4, 0, len(a) - 4)] and got[0][4] == 76 / 94
 
 
