@@ -44,6 +44,13 @@ def covariance(df: DataFrame, key: str, features: str, width: int) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs])).alias("e")).select("e.*")
 
 
+def covariances(df: DataFrame, key: str, features: str) -> DataFrame:
+    """(i, j, cov) for i <= j over the whole width of the data: population covariances, one group for each pair."""
+    x = F.transform(features, lambda v: v.cast("double"))
+    pairs = F.flatten(F.transform(x, lambda v, i: F.transform(F.slice(x, i + 1, F.size(x) - i), lambda w, d: F.struct(i.alias("i"), (i + d).alias("j"), v.alias("x"), w.alias("y")))))
+    return df.select(F.inline(pairs)).groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+
+
 def is_integer_matrix(df: DataFrame, key: str, features: str, rows: int = 10) -> DataFrame:
     """(integral): whether the first ``rows`` rows by key hold whole numbers only."""
     first = df.orderBy(key).limit(rows)

@@ -321,6 +321,11 @@ def q_covariance(s: SparkSession, d: str) -> DataFrame:
     return X.covariance(table(s, d, "embeddings"), "vec_id", "embedding", 8).select("i", "j", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
 
 
+@query(f"WITH {_LONG} SELECT i, j, round(covar_pop(x, y), 8) + 0.0 AS cov FROM (SELECT a.j AS i, b.j AS j, a.v AS x, b.v AS y FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.j <= b.j) GROUP BY ALL")
+def q_covariance_full(s: SparkSession, d: str) -> DataFrame:
+    return X.covariances(table(s, d, "embeddings"), "vec_id", "embedding").select("i", "j", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
+
+
 @query("SELECT bool_and(list_bool_and(list_transform(embedding, lambda v: v = floor(v)))) AS integral FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 10)")
 def q_integer_matrix(s: SparkSession, d: str) -> DataFrame:
     return X.is_integer_matrix(table(s, d, "embeddings"), "vec_id", "embedding")

@@ -24,6 +24,12 @@ def test_equals_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(repr, want.select(*order).fetchall()))
 
 
+def test_covariance_takes_the_whole_width(spark, duck):
+    got = {(r.i, r.j): r.cov for r in QUERIES["q_covariance_full"](spark, FOLDER).collect()}
+    want = {(i, j): cov for i, j, cov in duck.sql(SQL["q_covariance_full"]).select("i", "j", "cov").fetchall()}
+    assert len(want) == 64 * 65 // 2 and got == want
+
+
 def test_names():
     assert set(SQL) <= set(QUERIES)
 
