@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and read it back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or str(spark.sparkContext.getCheckpointDir() or "")
     if not folder:
-        folder = "/tmp/loomspark-shared"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
+    spark = df.sparkSession
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored: for the end of a job, when no result is read any more."""
+    drop(spark, _tables(spark))
