@@ -17,11 +17,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.llm.text import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,8 +121,8 @@ class Tape:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start = np.arange(len(text))
+        self.end = np.arange(1, len(text) + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace [a, b) by a string, for each of the ascending disjoint edits; the new characters stand for all of [a, b)."""
@@ -128,12 +131,12 @@ class Tape:
         text, start, end, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
+            start += [self.start[at:a], np.repeat(self.start[a], len(new))]
+            end += [self.end[at:a], np.repeat(self.end[b - 1], len(new))]
             at = b
         self.text = "".join([*text, self.text[at:]])
-        self.start = start + self.start[at:]
-        self.end = end + self.end[at:]
+        self.start = np.concatenate([*start, self.start[at:]])
+        self.end = np.concatenate([*end, self.end[at:]])
 
 
 def _plain(c: str) -> str:
@@ -207,7 +210,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         have[k].append((a, b))
     added = []
     for kind, a, b in base_spans(tape.text):
-        s, e = tape.start[a], tape.end[b - 1]
+        s, e = int(tape.start[a]), int(tape.end[b - 1])
         if text[s:e] == tape.text[a:b]:
             continue
         if any(x <= s and e <= y for x, y in have[kind]):
@@ -240,7 +243,7 @@ def find(docs: DataFrame, *, text: str = "text") -> DataFrame:
                 out.append([{"kind": k, "start": a, "stop": b, "base": (k, a, b) in own} for k, a, b in _ordered(base + added)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def mask(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -256,7 +259,7 @@ def mask(docs: DataFrame, *, text: str = "text") -> DataFrame:
                     texts[i] = masked(t, base + added)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:

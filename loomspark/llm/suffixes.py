@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.text import chunks, mix
+from loomspark.llm.text import chunks, in_arrow, mix
 
 LENGTH = 50
 GRAM = 16
@@ -125,7 +125,7 @@ def _dealt(part: np.ndarray, order: np.ndarray, pack) -> tuple[list[int], list[b
     """One block for each part number, of its rows in ``order`` (which sorts by part)."""
     sorted_ = part[order]
     edge = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else np.zeros(0, np.int64)
-    stop = np.append(edge[1:], len(order))
+    stop = np.append(edge[1:], len(order))[: len(edge)]
     return sorted_[edge].tolist(), [pack(order[a:b]) for a, b in zip(edge, stop, strict=True)]
 
 
@@ -157,7 +157,7 @@ def _anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 number, blocks = _dealt(bucket, np.argsort(bucket, kind="stable"), lambda x: _pack(print_[x], _steps(key[x]), tag[x], begin[x]))  # noqa: B023
                 yield _table(number, blocks, "b").combine_chunks().to_batches()[0] if number else pa.RecordBatch.from_pydict({"b": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
 
-    return rows.mapInArrow(run, "b int, block binary")
+    return in_arrow(rows, run, "b int, block binary")
 
 
 def _shared(blocks: list[bytes], groups: int) -> pa.Table:

@@ -1,4 +1,4 @@
-"""Shared helpers: Arrow text columns as byte arrays, word hashes, tables in the shared folder.
+"""Shared helpers: Arrow text columns as byte arrays, word hashes, bounded Arrow batches.
 
 Everything here works on bounded chunks of a record batch. A chunk holds whole texts and about
 ``CHUNK`` bytes, so a task's memory follows its longest text and not its number of rows.
@@ -6,16 +6,21 @@ Everything here works on bounded chunks of a record batch. A chunk holds whole t
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from loomspark.sources.stored import shared_folder, stored  # noqa: F401  used by the operators
 
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
+#: Bytes of an Arrow batch, where the session allows more.
+BATCH = 1 << 22
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,23 +135,12 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = str(spark.sparkContext.getCheckpointDir() or "")
-    if not folder:
-        folder = "/tmp/loomspark-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow``, with the session's Arrow batches held to ``BATCH`` bytes: a task's memory then follows bytes, not rows."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BATCH_BYTES)).rstrip("b")) > BATCH:
+        conf.set(_BATCH_BYTES, BATCH)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.text import in_arrow
+
 _LOADED: dict[tuple[str, str], tuple] = {}
 
 
@@ -95,7 +97,7 @@ def by_section(docs: DataFrame, ranks: str, pattern: str, *, key: str = "doc_id"
             yield made()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, section int, start long, stop long, n_tokens long, n_crossing long")
+    return in_arrow(docs.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, section int, start long, stop long, n_tokens long, n_crossing long")
 
 
 def by_field(docs: DataFrame, ranks: str, pattern: str, fields: list[str], *, key: str = "doc_id", text: str = "text", rule: str = "first") -> DataFrame:

@@ -9,7 +9,7 @@ features of that sample pass through the driver and are bounded by it. Scoring i
 
 Defined results: a null text counts as empty; an empty text's score is the intercept's; null labels and labels
 other than 0 and 1 are left out of the fit; without both classes every score is the share of label 1 (0.0 without
-labels); repeated rows are scored alike; an empty table gives an empty result; other columns pass through.
+labels); repeated rows are scored alike and count once in the fit, with the smallest of their texts; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.text import chunks, mix
+from loomspark.llm.text import chunks, in_arrow, mix, stored
+
+#: Characters whose n-grams are held at once.
+RUN = 1 << 16
+#: Bytes of text whose distinct n-grams are held at once while counting.
+FIT_CHUNK = 1 << 18
 
 _CODE = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,19 +70,21 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, hashed n-gram) of every n-gram of each size."""
+    """(text number, hashed n-gram) of every n-gram of each size, by runs of ``RUN`` characters."""
     codes, first = _codes(data, offsets)
-    wide = codes.astype(np.uint64)
-    owner = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    for n in s.sizes:
-        if len(codes) < n:
-            continue
-        h = wide[: len(wide) - n + 1] * _CODE[0]
-        for k in range(1, n):
-            h = h + wide[k : len(wide) - n + 1 + k] * _CODE[k]
-        inside = owner[: len(h)] == owner[n - 1 :]
-        slot = (mix(h + np.uint64(n)) >> np.uint64(64 - s.bits)).astype(np.int64)
-        yield owner[: len(h)][inside], slot[inside]
+    owners = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    for at in range(0, len(codes), RUN):
+        wide, owner = codes[at : at + RUN + max(s.sizes) - 1].astype(np.uint64), owners[at : at + RUN + max(s.sizes) - 1]
+        for n in s.sizes:
+            size = min(RUN, len(wide) - n + 1)
+            if size < 1:
+                continue
+            h = wide[:size] * _CODE[0]
+            for k in range(1, n):
+                h = h + wide[k : size + k] * _CODE[k]
+            inside = owner[:size] == owner[n - 1 : size + n - 1]
+            slot = (mix(h + np.uint64(n)) >> np.uint64(64 - s.bits)).astype(np.int32)
+            yield owner[:size][inside], slot[inside]
 
 
 def _found(data: np.ndarray, offsets: np.ndarray, s: Settings, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +111,13 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
         .groupBy("_k").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64(F.lit("fit"), F.col("_k")), F.col("_k")).limit(s.max_rows)
     )
-    # max_rows bounds what is broadcast
-    return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k")
+    # max_rows bounds what is broadcast; repeated rows of a key count once, with the smallest of their texts
+    return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").groupBy("_k").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings | None = None) -> Model:
     """Fit on the labelled texts that are not held out."""
     s = settings or Settings()
-    from loomspark.llm.text import stored
-
     rows = stored(sample(docs, labels, key, text, label, s), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         for batch in batches:
             y = batch.column(batch.schema.get_field_index("_y")).to_numpy(zero_copy_only=False)
             size += np.bincount(y, minlength=2)
-            for a, b, data, offsets in chunks(batch.column(batch.schema.get_field_index("_t"))):
-                keys = [(o.astype(np.int64) << s.bits) | g for o, g in _grams(data, offsets, s)]
-                k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            for a, b, data, offsets in chunks(batch.column(batch.schema.get_field_index("_t")), FIT_CHUNK):
+                keys = [np.unique((o.astype(np.int64) << s.bits) | g) for o, g in _grams(data, offsets, s)]
+                k = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
                 for c in (0, 1):
                     by[c] += np.bincount((k & ((1 << s.bits) - 1))[y[a:b][k >> s.bits] == c], minlength=1 << s.bits)
         used = np.flatnonzero(by.sum(0))
         yield pa.RecordBatch.from_pydict({"f": np.append(used, -1), "neg": np.append(by[0][used], size[0]), "pos": np.append(by[1][used], size[1])})
 
-    counts = rows.coalesce(8).mapInArrow(count, "f long, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = in_arrow(rows.coalesce(8), count, "f long, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     got = counts.filter((F.col("neg") + F.col("pos") >= s.min_rows) | (F.col("f") < 0)).toArrow()  # at most 2**bits rows
     f, neg, pos = (got.column(c).to_numpy() for c in ("f", "neg", "pos"))
     total = f < 0
@@ -156,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     kind = rows.schema["_k"].dataType
     schema = T.StructType([T.StructField("_k", kind), T.StructField("y", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
-    got = rows.mapInArrow(encode, schema).orderBy("_k").toArrow()  # bounded by max_rows
+    got = in_arrow(rows, encode, schema).orderBy("_k").toArrow()  # bounded by max_rows
     lists = got.column("f").combine_chunks()
     y = got.column("y").to_numpy().astype(float)
     size = np.diff(lists.offsets.to_numpy())
@@ -203,7 +208,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "s
             p = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*names, output])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, T.StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema, T.StructField(output, T.DoubleType())]))
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    return in_arrow(own, run, T.StructType([*own.schema, T.StructField(output, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, settings: Settings | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.text import shared_folder
+from loomspark.llm.text import in_arrow, shared_folder
 
 SEGMENT = 1 << 14
 CHUNK = 4096
@@ -126,7 +126,7 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(encode, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+    in_arrow(rows, encode, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -206,7 +206,7 @@ def payloads(whole: DataFrame) -> DataFrame:
                 out.append(r)
             yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.string()), ("type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("size", pa.int64()), ("payload", pa.binary())]))
 
-    return whole.mapInArrow(run, "key string, type string, refers string, digest string, size long, payload binary")
+    return in_arrow(whole, run, "key string, type string, refers string, digest string, size long, payload binary")
 
 
 def round_trip(pages: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
