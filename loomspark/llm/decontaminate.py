@@ -3,8 +3,8 @@
 Items are normalised to words (A-Z lower-cased; runs of a-z, 0-9 and non-ASCII characters). Every run of ``size``
 item words is a window; an item with fewer words is one window. All windows' 64-bit hashes are broadcast to the
 scans of documents, where rolling window hashes are looked up; hits are verified word for word. That set is bounded:
-windows are counted first, and beyond ``max_windows`` the documents' distinct window hashes are joined to the
-windows by a shuffle instead, with the same result.
+windows are counted first, and beyond ``max_windows`` the hashes of the documents' windows are joined to the benchmark's
+by a shuffle instead, and hits are verified where their texts are, with the same result.
 
 Defined results: null and empty texts have no words and no hits; items without words give no window; windows of an
 item with a null id hit but are not listed; repeated items and documents count once per id and once per row; an empty
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.text import ALNUM, chunks, runs, words
+from loomspark.llm.text import ALNUM, chunks, in_arrow, runs, stored, words
 
-#: Windows that may be broadcast: about 100 bytes each.
+#: Windows that may be broadcast: a few hundred bytes each in a task.
 MAX_WINDOWS = 500_000
 
 _HIT = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
@@ -51,7 +51,7 @@ def windows(items: DataFrame, size: int, key: str = "item_id", text: str = "text
                             t.append(b" ".join(low[w.start[j] : w.end[j]] for j in range(first + k, first + k + length)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item, pa.int64())), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(t, pa.binary())], ["item", "n", "h", "w"])
 
-    return items.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, "item string, n int, h long, w binary").distinct()
+    return in_arrow(items.select(F.col(key).cast("string"), F.col(text)), run, "item string, n int, h long, w binary").distinct()
 
 
 class _Windows:
@@ -101,6 +101,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _annotated(columns: list[pa.Array], n: np.ndarray, spans: list[list[tuple[int, int]]], items: list[set[str]], names: list[str]) -> pa.RecordBatch:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=names)
+
+
 def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int = 13, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with n_words, spans (hit words, from 0, end exclusive) and items (sorted ids found)."""
     docs = docs.drop("n_words", "spans", "items")
@@ -116,59 +121,52 @@ def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", size: int
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(at)):
                 n, spans, items = _scan(data, offsets, known.value)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in batch.columns), pa.array(n, pa.int64()), pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=schema.names,
-                )
+                yield _annotated([c.slice(a, b - a) for c in batch.columns], n, spans, items, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def _annotate_by_join(docs: DataFrame, found: DataFrame, text: str, size: int) -> DataFrame:
-    """The same for window sets too large to broadcast: document windows are joined to them on hash and words."""
+    """The same for window sets too large to broadcast: hashes of document windows are joined to them, hits alone meet their texts."""
+    aside = {c: f"_own{c}" for c in ("_row", "_hits") if c in docs.columns}
+    keyed = stored(docs.withColumnsRenamed(aside).withColumn("_row", F.monotonically_increasing_id()), "documents")
+    text = aside.get(text, text)
     lengths = [r["n"] for r in found.select("n").distinct().collect()]  # 1 to size
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    from loomspark.llm.text import stored
-
-    keyed = stored(keyed, "documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.column(0).to_numpy()
             for a, b, data, offsets in chunks(batch.column(1)):
                 w = words(data, offsets, ALNUM)
-                low = data.tobytes().lower()
-                row, n, h, p, t = [], [], [], [], []
-                for length in lengths:
-                    hashes = runs(w.hash, length).view(np.int64)
-                    for d in range(b - a):
-                        first = int(w.first[d])
-                        for i in range(first, int(w.first[d + 1]) - length + 1):
-                            row.append(a + d)
-                            n.append(length)
-                            h.append(int(hashes[i]))
-                            p.append(i - first)
-                            t.append(b" ".join(low[w.start[j] : w.end[j]] for j in range(i, i + length)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(p, pa.int32()), pa.array(t, pa.binary())], ["_row", "n", "h", "p", "w"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                owner = np.repeat(np.arange(b - a), np.diff(w.first))
+                for n in lengths:
+                    h = runs(w.hash, n)
+                    at = np.flatnonzero(owner[: len(h)] == owner[n - 1 :])
+                    d = owner[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[a + d]), pa.array((at - w.first[d]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(h[at].view(np.int64))], ["_row", "p", "n", "h"])
+
+    own = in_arrow(keyed.select("_row", text), run, "_row long, p int, n int, h long")
+    met = own.join(found, ["n", "h"]).groupBy("_row").agg(F.collect_list(F.struct("p", "n", "item", "w")).alias("_hits"))
+    pair = keyed.join(met, "_row", "left")
+    at, hits_at = pair.columns.index(text), pair.columns.index("_hits")
+    keep = [i for i, c in enumerate(pair.columns) if c not in ("_row", "_hits")]
+    schema = T.StructType([*(pair.schema[i] for i in keep), *T.StructType.fromDDL(_HIT)])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(words(data, offsets, ALNUM).first), pa.int64())], ["_row", "n_words"])
-
-    pair = keyed.select("_row", text)
-    hits = pair.mapInArrow(run, "_row long, n int, h long, p int, w binary").join(found, ["n", "h", "w"])
-
-    def merge(pdf):
-        import pandas as pd
-
-        spans = _merged([(int(p), int(p + n)) for p, n in zip(pdf["p"], pdf["n"], strict=True)])
-        return pd.DataFrame({"_row": [pdf["_row"].iloc[0]], "spans": [[{"start": x, "stop": y} for x, y in spans]], "items": [sorted({x for x in pdf["item"] if x is not None})]})
+            for a, b, data, offsets in chunks(batch.column(at)):
+                w = words(data, offsets, ALNUM)
+                spans: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+                items: list[set[str]] = [set() for _ in range(b - a)]
+                for d, hits in enumerate(batch.column(hits_at).slice(a, b - a)):
+                    for x in hits.as_py() or ():
+                        i = int(w.first[d]) + x["p"]
+                        if b" ".join(data[w.start[j] : w.end[j]].tobytes().lower() for j in range(i, i + x["n"])) == x["w"]:
+                            spans[d].append((x["p"], x["p"] + x["n"]))
+                            items[d] |= {x["item"]} - {None}
+                yield _annotated([batch.column(i).slice(a, b - a) for i in keep], np.diff(w.first), [_merged(s) for s in spans], items, schema.names)
 
-    merged = hits.select("_row", "p", "n", "item").groupBy("_row").applyInPandas(merge, "_row long, spans array<struct<start:int,stop:int>>, items array<string>")
-    none = F.array().cast("array<string>")
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    out = keyed.join(pair.mapInArrow(count, "_row long, n_words long"), "_row").join(merged, "_row", "left")
-    return out.select(*docs.columns, "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", none).alias("items"))
+    return in_arrow(pair, verify, schema).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def hit_words() -> Column:
@@ -214,7 +212,7 @@ def without_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", size
                     texts[i] = data[keep].tobytes().decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return marked.mapInArrow(run, marked.schema).select(*own.columns).withColumnsRenamed(back)
+    return in_arrow(marked, run, marked.schema).select(*own.columns).withColumnsRenamed(back)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
