@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("words", "n_words", 20, 1_000_000),
     ("word length", "mean_word_chars", 3, 10),
     ("symbols to words", "symbol_ratio", None, 0.1),
-    ("stop words", "n_stop_words", 2, None),
+    ("stop words to words", "stop_word_ratio", 0.02, None),
     ("repeated lines", "dup_line_ratio", None, 0.5),
     ("bullet lines", "bullet_line_ratio", None, 0.9),
     ("lines that trail off", "ellipsis_line_ratio", None, 0.3),
@@ -43,7 +43,7 @@ def measure(docs: DataFrame, *, text: str = "text", stop_words: list[str] | None
     """``docs`` with the measures of the rule table as columns."""
     stop = sorted({v for w in stop_words or STOP_WORDS for v in (w, w.capitalize())})
     own = docs.columns
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "mean_word_chars", "symbol_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "stop_word_ratio", "mean_word_chars", "symbol_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio"]
     keep = [F.col(f"`{c}`") for c in own if c not in made]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     split = docs.select(*keep, body.alias("_t")).withColumns(
@@ -53,8 +53,8 @@ def measure(docs: DataFrame, *, text: str = "text", stop_words: list[str] | None
         }
     )
     hashed = split.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    at = lambda i, k: F.get("_h", i + k)
-    window = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))
+    count = F.size("_h") - (WINDOW - 1)
+    window = F.transform(F.arrays_zip(*[F.slice("_h", k + 1, count) for k in range(WINDOW)]), lambda s: F.xxhash64(s))
     none = F.array().cast("array<bigint>")
     windows = hashed.withColumn("_w", F.when(F.size("_h") >= WINDOW, window).otherwise(none)).drop("_h")
     pairs = F.array_sort(F.transform("_w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -74,13 +74,14 @@ def measure(docs: DataFrame, *, text: str = "text", stop_words: list[str] | None
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered,
             "n_lines": n_lines,
-            "n_stop_words": F.size(F.array_intersect("_words", F.array(*map(F.lit, stop)))).cast("long"),
+            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
             "bullet_line_ratio": share(F.size(F.filter("_lines", lambda s: s.rlike(r"^[\x20\x09]*[-*•]"))), n_lines),
             "ellipsis_line_ratio": share(F.size(F.filter("_lines", lambda s: s.rlike(r"(\.\.\.|…)[\x20\x09\x0D]*$"))), n_lines),
         }
     )
     ratios = {
         "mean_word_chars": share(F.col("word_chars"), F.col("n_words")),
+        "stop_word_ratio": share(F.col("n_stop_words"), F.col("n_words")),
         "symbol_ratio": share(F.col("n_symbols"), F.col("n_words")),
         "dup_line_ratio": share(F.col("n_dup_lines"), F.col("n_lines")),
     }
@@ -127,14 +128,14 @@ p AS (SELECT doc_id, CAST(sum(least({WINDOW}, coalesce(i - last, {WINDOW}))) AS
 m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(l) AS n_lines,
-             len(list_distinct(list_filter(w, lambda x: x IN ({", ".join("'" + v + "'" for v in sorted({v for w in STOP_WORDS for v in (w, w.capitalize())}))})))) AS n_stop_words,
+             len(list_filter(w, lambda x: x IN ({", ".join("'" + v + "'" for v in sorted({v for w in STOP_WORDS for v in (w, w.capitalize())}))}))) AS n_stop_words,
              len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullets,
              len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) AS n_ellipses
       FROM w LEFT JOIN p ON w.doc_id = p.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words BETWEEN 20 AND 1000000 AND word_chars BETWEEN 3 * n_words AND 10 * n_words
-       AND 10 * n_symbols <= n_words AND n_stop_words >= 2 AND 10 * n_dup_lines <= 5 * n_lines
+       AND 10 * n_symbols <= n_words AND 50 * n_stop_words >= n_words AND 10 * n_dup_lines <= 5 * n_lines
        AND 10 * n_bullets <= 9 * n_lines AND 10 * n_ellipses <= 3 * n_lines AS kept
 FROM b
 """
