@@ -2,11 +2,12 @@
 
 A document's token ids, with an end id, are cut only where they exceed the capacity. The histogram of piece lengths
 (at most ``capacity`` numbers, whatever the corpus) goes to the driver, where a configuration linear program is
-solved: the fewest patterns, each a multiset of lengths that fits the capacity, that cover the histogram. Weights of
-the lengths are updated multiplicatively and a knapsack dynamic program prices the next pattern. The fractional
-pattern counts are rounded down, rounds of pricing on what is left follow, and the last few pieces are placed by
-best fit over the histogram. Pieces never pass through the driver: a piece's rank among those of its length (counted
-by salted groups) picks its place in the plan, whose size depends on the capacity alone.
+solved: the fewest patterns, each a multiset of lengths that fits the capacity, that cover the histogram. Each length has a
+weight that is updated multiplicatively; a knapsack dynamic program over the weighted lengths prices patterns, and the
+solution is the average over the rounds. Pattern counts are rounded as far as pieces are left, the program is solved
+again for what is left, and the last few pieces are placed by best fit over the histogram. Pieces never pass through the
+driver: a piece's rank among those of its length (counted by salted groups) picks its place in the plan, whose size
+depends on the capacity alone.
 
 Defined results: null and empty texts are one piece of the end id; rows with a null key and repeated rows are
 packed like others; an empty table gives an empty result; other columns are ignored.
@@ -17,21 +18,26 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import stored
+from loomspark.llm.text import in_arrow, stored
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights, their step, classes of lengths, and scales tried when rounding.
-ROUNDS = 600
-STEP = 20.0
-CLASSES = 32
-SCALES = (1.0, 0.5, 0.25, 0.1, 0.05)
+#: Rounds of the multiplicative weights, pricings in a round, step of the weights, and times the program is solved again.
+ROUNDS = 16
+TRIES = 4
+STEP = 16.0
+PASSES = 8
+
+#: Pre-tokens whose ids a task keeps, and characters of the longest: together about 40 MB.
+KEPT, KEPT_LENGTH = 200_000, 32
 
 _SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
@@ -60,14 +66,16 @@ class _Ids(dict):
 
     def __missing__(self, part: str) -> bytes:
         plain = part if part.isascii() and part.isprintable() else self.as_bytes(part)[0][0]
-        self[part] = out = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+        out = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+        if len(part) <= KEPT_LENGTH:
+            self[part] = out
         return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        if len(self) > 600_000:
+        if len(self) > KEPT:
             self.clear()
         if (text.isascii() or not _BEYOND.search(text)) and "<|" not in text:
             return b"".join(map(self.__getitem__, _PRE.findall(text.lower())))
@@ -114,78 +122,126 @@ def pieces(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}" + ", ids array<int>" * ids)
+    return in_arrow(docs.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, {_SCHEMA}" + ", ids array<int>" * ids)
 
 
-def price(value: np.ndarray, capacity: int, least: int) -> np.ndarray:
-    """The pattern (lengths, descending) of most total value: an unbounded knapsack by dynamic programming.
+def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most total value within each capacity, and the piece that a pattern of it takes first (0: none): an unbounded knapsack.
 
-    ``value[l]`` is the value of a piece of length l, 0 for lengths that may not be used. Only lengths of ``least`` or
-    more take part, so ``least`` capacities at a time are settled together.
+    ``value[l]`` is the value of a piece of length l, 0 for lengths that may not be used.
     """
-    lengths = np.flatnonzero(value > 0)
-    lengths = lengths[lengths >= least]
-    worth = value[lengths]
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for a in range(least, capacity + 1, least):
-        c = np.arange(a, min(a + least, capacity + 1))
-        k = int(np.searchsorted(lengths, c[-1], "right"))
-        room = c[:, None] - lengths[None, :k]
-        total = np.concatenate([np.full((len(c), 1), -1.0), np.where(room >= 0, best[np.maximum(room, 0)] + worth[:k], -1.0)], axis=1)
-        i = total.argmax(1)
-        most = np.maximum.accumulate(np.maximum(total[np.arange(len(c)), i], best[a - 1]))
-        used = total[np.arange(len(c)), i] >= most
-        best[c], last[c] = most, np.where(used & (i > 0), np.concatenate([[0], lengths[:k]])[i], 0)
-    out, c = [], capacity
-    while c > 0:
-        out += [int(last[c])] * bool(last[c])
-        c -= int(last[c]) or 1
-    return np.sort(np.array(out, np.int64))[::-1]
-
-
-def fractional(count: np.ndarray, capacity: int, rounds: int) -> dict[tuple[int, ...], float]:
-    """Full patterns and how often each is used, from multiplicative weights.
-
-    A length's price is its size, raised by less than one token by its weight. Weights belong to classes of lengths and
-    fall exponentially with the share of the class that is covered, so among full patterns those win whose lengths lag.
-    Each round uses the priced pattern until one of its lengths is covered; rounds end when no full pattern is left.
+    for c in range(1, capacity + 1):
+        total = value[c:0:-1] + best[:c]
+        i = int(total.argmax())  # of equal ones the largest piece: small ones fill gaps best
+        if total[i] > best[c - 1]:
+            best[c], last[c] = total[i], c - i
+        else:
+            best[c] = best[c - 1]
+    return best, last
+
+
+def priced(first: np.ndarray, last: np.ndarray, capacity: int) -> np.ndarray:
+    """A row for each length in ``first``: the best pattern that holds it, descending, filled up with zeros."""
+    used = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
+    rest, rows = used[capacity - first], [first]
+    while rest.any():
+        rows.append(np.where(rest > 0, last[rest], 0))
+        rest = used[rest - rows[-1]]
+    return np.sort(np.stack(rows, 1), 1)[:, ::-1]
+
+
+def fractional(count: np.ndarray, capacity: int, rounds: int, tries: int = TRIES) -> tuple[dict[tuple[int, ...], float], float]:
+    """Patterns and how often each is used, from multiplicative weights, and a lower bound of the sequences needed.
+
+    In each of ``rounds`` rounds every length may be used for an equal share of its pieces more, so that all lengths are
+    covered at one pace and the average over the rounds is the solution. A length's price is its size times its weight; a
+    dynamic program gives, for each length, the best pattern that holds it. Patterns of the best value, or full ones,
+    are used until a length's share is gone, then lengths with a share left are priced again, ``tries`` times in all. After a
+    round a length's weight grows exponentially with what is left of its share. Prices over the value of the best pattern
+    are a solution of the dual program, hence the bound.
     """
-    size = np.arange(capacity + 1) / capacity
-    group = np.minimum(np.arange(capacity + 1) * CLASSES // capacity, CLASSES - 1)
-    rest, amount = count.astype(float), {}
-    mass = np.bincount(group, rest * size, minlength=CLASSES)
+    n, size = count.astype(float), np.arange(capacity + 1) / capacity
+    weight, left, bound = np.ones(capacity + 1), np.zeros(capacity + 1), 0.0
+    amount: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        covered = 1 - np.bincount(group, rest * size, minlength=CLASSES) / np.maximum(mass, 1e-9)
-        weight = np.exp(-STEP * (covered - covered[mass > 0].min(initial=1.0)))
-        p = price(np.where(rest > 0.5, size * (1 + 0.8 / capacity * weight[group]), 0), capacity, max(1, capacity // 64))
-        if p.sum() < capacity:
+        left = left + n / rounds
+        for i in range(tries):
+            value = np.where(left > 1e-9, size * weight, 0.0)
+            best, last = price(value, capacity)
+            if best[capacity] <= 0:
+                break
+            if i == 0:  # all lengths have a share now
+                top = best[capacity]
+                bound = max(bound, float((n * size * weight).sum() / top))
+            first = np.flatnonzero(left > 1e-9)
+            worth = value[first] + best[capacity - first]
+            order = np.argsort(-worth, kind="stable")
+            for row, v in zip(priced(first[order], last, capacity).tolist(), worth[order].tolist(), strict=True):
+                if v < top * (1 - 0.5 / capacity) and sum(row) < capacity:
+                    continue
+                p = tuple(x for x in row if x)
+                step = min(left[x] / m for x, m in Counter(p).items())
+                if step > 1e-9:
+                    amount[p] = amount.get(p, 0.0) + step
+                    for x in p:
+                        left[x] -= step
+        weight *= np.exp(STEP / capacity * np.where(n > 0, np.minimum(left * rounds / np.maximum(n, 1), 1), 0))
+    return amount, bound
+
+
+def rounded(count: np.ndarray, amount: dict[tuple[int, ...], float]) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns, most used first, each as often as its amount rounded up as far as pieces are left; and the pieces left."""
+    left, plan = count.copy(), []
+    for p, x in sorted(amount.items(), key=lambda e: (-e[1], e[0])):
+        items = Counter(p)
+        m = min(int(np.ceil(x - 1e-9)), *(int(left[c]) // k for c, k in items.items()))
+        if m > 0:
+            plan.append((p, m))
+            for c, k in items.items():
+                left[c] -= m * k
+    return plan, left
+
+
+@dataclass
+class Solution:
+    """Patterns and how often each is used; how many sequences come from the program; a lower bound of the sequences."""
+
+    plan: list[tuple[tuple[int, ...], int]]
+    from_program: int
+    bound: int
+
+
+def solution(count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Solution:
+    """The program solved and rounded, again for the pieces that rounding leaves, until it places hardly any; best fit for the rest.
+
+    Best fit alone is kept where it needs fewer sequences; ``from_program`` is 0 then.
+    """
+    left = count.astype(np.int64).copy()
+    full = int(left[capacity])
+    left[capacity] = 0
+    plan, bound, total = [], 0, int(left.sum())
+    for i in range(PASSES):
+        amount, least = fractional(left, capacity, rounds)
+        bound = bound if i else int(np.ceil(least - 1e-6))
+        more, rest = rounded(left, amount)
+        placed = int((left - rest).sum())
+        plan, left = plan + more, rest
+        if 100 * placed < total:
             break
-        lengths, times = np.unique(p, return_counts=True)
-        step = (rest[lengths] / times).min()
-        amount[tuple(p.tolist())] = amount.get(tuple(p.tolist()), 0.0) + step
-        rest[lengths] -= step * times
-    return amount
+    made = sum(m for _, m in plan)
+    plan = plan + best_fit(left, capacity)
+    left = count.astype(np.int64).copy()
+    left[capacity] = 0
+    plain = best_fit(left, capacity)
+    if sum(m for _, m in plain) < sum(m for _, m in plan):  # a handful of pieces, where rounding costs a sequence
+        plan, made = plain, 0
+    return Solution(([((capacity,), full)] if full else []) + plan, made, bound + full)
 
 
 def solve(count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used, together holding exactly count[l] pieces of each length l.
-
-    The fractional solution is rounded down at several scales, best fit places the rest, the fewest sequences win.
-    """
-    whole = count.astype(np.int64).copy()
-    full = int(whole[capacity])
-    whole[capacity] = 0
-    amount = fractional(whole, capacity, rounds)
-    plans = []
-    for scale in SCALES:
-        left, plan = whole.copy(), [((capacity,), full)] if full else []
-        for p, x in amount.items():
-            if m := int(x * scale + 1e-9):
-                lengths, times = np.unique(np.array(p), return_counts=True)
-                plan.append((p, m))
-                left[lengths] -= m * times
-        plans.append(plan + best_fit(left, capacity))
-    return min(plans, key=lambda plan: sum(m for _, m in plan))
+    """Patterns and how often each is used, together holding exactly count[l] pieces of each length l."""
+    return solution(count, capacity, rounds).plan
 
 
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -239,7 +295,8 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_salt", "length", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_salt", "length").orderBy(*names))
-    ranked = salted.withColumn("_rank", within).join(starts, ["_salt", "length"]).select(*names, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+    # merged, not broadcast: its rows grow with the number of salts
+    ranked = salted.withColumn("_rank", within).join(starts.hint("merge"), ["_salt", "length"]).select(*names, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = slots.value
@@ -251,7 +308,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     from pyspark.sql import types as T
 
     schema = T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema)
+    return in_arrow(ranked, place, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY) -> DataFrame:
