@@ -18,8 +18,8 @@ With 32 bands of 4 registers a pair at similarity 0.85 shares no bucket with pro
 ``MIN_BANDS`` with probability below 1e-7.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows with a null key are
-left out of links (component null, kept true); repeated rows of one key are one document to the links and each gets
-the same result; an empty table gives an empty result; other columns are ignored.
+left out of links (component null, kept true); repeated rows of one key stand for the smallest of their texts and each
+gets its result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.text import NOT_SPACE, chunks, mix, shingles, stored, words
+from loomspark.llm.text import NOT_SPACE, chunks, in_arrow, mix, shingles, stored, words
+from loomspark.sources.stored import drop
 
 BASE = 1.001
 RATE = 20.0
@@ -41,8 +42,9 @@ LIMIT = 65534
 ROWS = 4
 REGISTERS = 128
 MIN_BANDS = 3
-#: Rows of a block where the members of a large group are compared exactly.
+#: Rows and shingles of a block, on average, where the members of a large group are compared exactly.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 
 _RNG = np.random.Generator(np.random.PCG64(4141))
 _TIMES = (_RNG.integers(1, 2**31, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
@@ -90,7 +92,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)), pa.array(r, pa.binary())], ["k", "n", "s1", "s2", "r"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n long, s1 long, s2 long, r binary")
+    return in_arrow(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n long, s1 long, s2 long, r binary")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -104,7 +106,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["k", "h"])
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, h array<long>")
+    return in_arrow(docs, run, f"k {docs.schema['k'].dataType.simpleString()}, h array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -156,12 +158,15 @@ def _exact_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.n
 def _within_families(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of each family's outer members (c differs from f) with members of other components.
 
-    Outer members and members are dealt to blocks of about ``BLOCK``; each pair of blocks is one group, in which sets
+    Outer members and members are dealt to blocks of about ``BLOCK`` rows or ``BLOCK_SHINGLES``; each pair of blocks is one group, in which sets
     are compared exactly and links that join what earlier ones have joined are left out, so a group gives fewer links
     than it has rows.
     """
-    size = family.groupBy("f").agg(F.count("*").alias("m"), F.sum((F.col("c") != F.col("f")).cast("long")).alias("o")).filter("o > 0")
-    dealt = family.join(size, "f").withColumns({"mb": F.ceil(F.col("m") / BLOCK).cast("int"), "ob": F.ceil(F.col("o") / BLOCK).cast("int")})
+    outside = F.col("c") != F.col("f")
+    counts = [F.count("*").alias("m"), F.sum("n").alias("mn"), F.count_if(outside).alias("o"), F.sum(F.when(outside, F.col("n"))).alias("on")]
+    blocks = lambda rows, shingles: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+    size = family.groupBy("f").agg(*counts).filter("o > 0").select("f", blocks("m", "mn").alias("mb"), blocks("o", "on").alias("ob"))
+    dealt = family.join(size, "f")
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "k"), F.col(n)).cast("int")
     outer = dealt.filter("c <> f").select("f", "k", "c", F.lit(True).alias("outer"), own(1, "ob").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
     inner = dealt.select("f", "k", "c", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), own(2, "mb").alias("j"))
@@ -205,6 +210,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         step = labels.join(heard, "k").select("k", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("k").alias("c"), F.col("c").alias("j"))
         nxt = stored(step.join(jump, "c").select("k", "old", F.least("c", "j").alias("c")), "labels")
+        drop(edges.sparkSession, *{str(f).rpartition("/")[0] for f in labels.inputFiles()})
         labels = nxt.select("k", "c")
         if nxt.filter("c < old").isEmpty():
             return nodes.join(labels, "k", "left").select("k", F.coalesce("c", "k").alias("c"))
@@ -212,6 +218,12 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row; kept marks the smallest key of each component."""
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    if not rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
+        one = rows.filter("k IS NOT NULL").groupBy("k").agg(F.min("t").alias("t"))
+        found = near_duplicates(one.unionByName(rows.filter("k IS NULL")), key="k", text="t", size=size, percent=percent)
+        again = rows.select("k").join(found.filter("k IS NOT NULL"), "k")
+        return again.unionByName(found.filter("k IS NULL")).withColumnRenamed("k", key)
     seen = stored(sketches(docs, key, text, size), "sketches")
     sets = seen.filter("n > 0 AND k IS NOT NULL")
     classes = stored(sets.groupBy("s1", "s2").agg(F.min(F.struct("k", "n", "r")).alias("x")).select("s1", "s2", "x.*"), "classes")
@@ -227,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     item = sets.select("k", F.explode("h").alias("x"))
     common = item.groupBy("x").agg(F.count("*").alias("m")).filter("m > 1").select("x")
     known = item.join(common, "x").groupBy("k").agg(F.count("*").alias("known"))
-    able = sets.select("k", "n").join(known, "k").filter(100 * F.col("known") >= percent * F.col("n")).select("k", (1 - F.col("known") / F.col("n")).alias("lone"))
+    able = sets.select("k", "n").join(known, "k").filter(100 * F.col("known") >= percent * F.col("n")).select("k", "n", (1 - F.col("known") / F.col("n")).alias("lone"))
     able = stored(able, "linkable")
     member = stored(member.join(able, "k"), "linkable-members")
     hub = member.groupBy("g").agg(F.min(F.struct("lone", "k")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("g", F.col("hub.k").alias("hub"))
@@ -236,8 +248,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = stored(_confirmed(first, sets, percent), "links-hub")
     part = stored(components(links, able.select("k")), "parts")
     # members outside their hub's component, against all members of the buckets whose hubs are in that component
-    placed = member.select("g", "k").join(part, "k").join(hub.join(part.select(F.col("k").alias("hub"), F.col("c").alias("hc")), "hub"), "g")
-    family = stored(placed.select(F.col("hc").alias("f"), "k", "c").distinct(), "families")
+    placed = member.select("g", "k", "n").join(part, "k").join(hub.join(part.select(F.col("k").alias("hub"), F.col("c").alias("hc")), "hub"), "g")
+    family = stored(placed.select(F.col("hc").alias("f"), "k", "c", "n").distinct(), "families")
     links = links.union(_within_families(family, sets.select("k", "h"), percent))
     found = stored(components(links, classes.select("k")), "components")
     of_class = classes.join(found, "k").select("s1", "s2", "c")
