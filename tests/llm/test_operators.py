@@ -149,6 +149,55 @@ def test_plan_holds_the_histogram(seed):
     assert packing.solve(np.zeros(129, int), 128) == []
 
 
+def optimum(pieces, capacity):
+    """The fewest sequences, by trying them all: each sequence starts with the largest piece that is left."""
+    best = len(pieces)
+
+    def go(left, used):
+        nonlocal best
+        if used + -(-sum(left) // capacity) >= best:
+            return
+        if not left:
+            best = used
+            return
+
+        def fill(rest, room, i):
+            full = True
+            for j in range(i, len(rest)):
+                if rest[j] <= room and (j == i or rest[j] != rest[j - 1]):
+                    full = False
+                    fill(rest[:j] + rest[j + 1 :], room - rest[j], j)
+            if full or i:
+                go(rest, used + 1)
+
+        fill(left[1:], capacity - left[0], 0)
+
+    go(sorted(pieces, reverse=True), 0)
+    return best
+
+
+def test_plans_against_an_exact_optimum():
+    r, more = random.Random(4), 0
+    for _ in range(40):
+        pieces = [r.randrange(1, 20) for _ in range(r.randrange(1, 11))]
+        got = packing.solution(np.bincount(pieces, minlength=21), 20)
+        want = optimum(pieces, 20)
+        assert got.bound <= want <= sum(m for _, m in got.plan)
+        more += sum(m for _, m in got.plan) - want
+    assert more <= 2
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_most_sequences_come_from_the_program(times):
+    r = np.random.default_rng(7)
+    count = np.bincount(np.minimum(512, 1 + r.lognormal(4.5, 1.1, 4000).astype(int)), minlength=513) * times
+    count[512] = 0
+    got = packing.solution(count, 512)
+    made = sum(m for _, m in got.plan)
+    assert got.from_program >= 0.9 * made and got.bound <= made <= 1.002 * got.bound + 3
+    assert made <= sum(m for _, m in packing.best_fit(count, 512)) + 2
+
+
 def test_pre_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
@@ -439,3 +488,61 @@ def test_empty_tables(spark):
         passages.near_duplicate_passages(none), toxicity.toxicity(none, labels), tokens.by_section(none, queries.vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     ):
         assert df.count() == 0
+
+
+def test_cards_and_phones_equal_plain_patterns():
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    r, some = random.Random(6), Counter()
+    for _ in range(9000):
+        t = "".join(r.choice("0123456789 -+()x.4111") for _ in range(r.randrange(60)))
+        got = pii.base_spans(t)
+        cards = []
+        for m in card.finditer(t):
+            d = [int(c) for c in m.group() if c.isdigit()]
+            total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d)))
+            if 13 <= len(d) <= 19 and total % 10 == 0:
+                cards.append(m.span())
+        phones = [m.span() for m in phone.finditer(t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+        assert [x[1:] for x in got if x[0] == "card"] == cards and [x[1:] for x in got if x[0] == "phone"] == phones
+        some["card"] += len(cards)
+        some["phone"] += len(phones)
+    assert min(some.values()) > 50
+
+
+def test_pii_digest_is_of_the_plain_patterns(spark):
+    texts = ["a.b@c.de x@y 1.2.3.4 999.1.1.1 +1 555 555 0123 4111 1111 1111 1111", "", None, "\U0001f600 é@x.y z@x.y"]
+    got = {r.doc_id: r for r in pii.digest(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+
+
+def test_longest_texts(spark):
+    """Texts beyond one chunk: results agree with those of their parts or of plain counts."""
+    long = " ".join(words(77, 260_000, 10**6))
+    assert len(long) > 1_200_000
+    rows = docs(spark, [(1, long), (2, long), (3, "short text here")])
+    assert {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(rows).collect()} == {1: (1, True), 2: (1, False), 3: (3, True)}
+    gone = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.digest(rows).collect()}
+    assert gone == {1: (0, 0), 2: (len(long), 1), 3: (0, 0)}
+    got = passages.near_duplicate_passages(rows).collect()
+    assert [(r.doc_id, r.source_id, r.start, r.stop) for r in got] == [(2, 1, 0, 260_000)]
+    item = spark.createDataFrame([(1, " ".join(long.split()[250_000:250_020]))], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.digest(rows, item).collect()} == {1: (260_000, 20), 2: (260_000, 20), 3: (3, 0)}
+
+
+def test_n_grams_do_not_depend_on_runs(monkeypatch):
+    s = toxicity.Settings()
+    data = np.frombuffer("Äbcd efgh ijkl ".encode() * 200, np.uint8)
+    offsets = np.array([0, 7, 7, len(data)])
+    grams = lambda: sorted({(int(o), int(g)) for a, b in toxicity._grams(data, offsets, s) for o, g in zip(a, b, strict=True)})
+    want = grams()
+    monkeypatch.setattr(toxicity, "RUN", 50)
+    assert grams() == want
+
+
+def test_repeated_rows_count_once_in_the_fit(spark):
+    rows = docs(spark, [(i % 50, " ".join(words(i % 50, 20))) for i in range(150)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.sample(rows, labels, "doc_id", "text", "toxic", toxicity.Settings(max_rows=10)).count() == 10
