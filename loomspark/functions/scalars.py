@@ -87,9 +87,9 @@ def step_grid(least: int = 10_000, most: int = 100_000, steps: int = 5) -> list[
     return [*grid, most] if not grid or grid[-1] != most else grid
 
 
-def seeded(key: str, seed: int | str) -> Column:
-    """A reproducible pseudo-random order of keys that other SQL engines share."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+def seeded(key: str, seed: int | str | Column) -> Column:
+    """A reproducible pseudo-random order of keys that other SQL engines share; the seed may differ by row."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), seed if isinstance(seed, Column) else F.lit(str(seed))))
 
 
 def partition_name(i: Column) -> Column:

@@ -101,17 +101,18 @@ def pca_helps(df: DataFrame, key: str, vector: str, label: str, seed: int = 42,
 
 
 def search(space: list[dict], objective, trials: int, seed: int = 42, gain: float = 0.01) -> dict:
-    """The best of ``trials`` points of a space, the first being its default; the rest in seeded order.
+    """The best of ``trials`` points of a space, the first being its first trial; the rest in seeded order.
 
-    Ends early when max(5, trials // 5) points in a row have gained less than ``gain``.
+    Ends early when max(5, trials // 5) points in a row have not passed a mark by more than ``gain``. The mark moves only to
+    points that pass it so, and slow steady gains therefore add up.
     """
     if not trials:
         return space[0]
     order = [0, *(1 + np.random.default_rng(seed).permutation(len(space) - 1))][:trials] if len(space) > 1 else [0]
-    patience, best, value, waited = max(5, trials // 5), space[0], -math.inf, 0
+    patience, best, value, mark, waited = max(5, trials // 5), space[0], -math.inf, -math.inf, 0
     for i in order:
         v = objective(space[i])
-        waited = 0 if v - value >= gain else waited + 1
+        mark, waited = (v, 0) if v > mark + gain else (mark, waited + 1)
         if v > value:
             best, value = space[i], v
         if waited >= patience:
@@ -120,8 +121,12 @@ def search(space: list[dict], objective, trials: int, seed: int = 42, gain: floa
 
 
 def pca_shares() -> list[dict]:
-    """Shares of variance 0.80 to 0.99, the default 0.90 first."""
-    return [{"share": 0.9}, *({"share": round(0.8 + i / 100, 2)} for i in range(20) if i != 10)]
+    """Shares of variance 0.80 to 0.99, the first trial 0.99 first."""
+    return [{"share": round(0.99 - i / 100, 2)} for i in range(20)]
+
+
+#: The share of variance without a search.
+PCA_SHARE = 0.9
 
 
 def forest_space(o: Options, width: int) -> list[dict]:
@@ -175,7 +180,7 @@ def fit_base(df: DataFrame, key: str, label: str, o: Options) -> Base:
                 z = reducer(df, "x", p["share"]).transform(df)
                 return best_c(z, key, "z", label, 3, o.seed, [1.0])[1]["best_c_score"]
 
-            share = search(pca_shares(), value, o.num_trials, o.seed)["share"]
+            share = search(pca_shares(), value, o.num_trials, o.seed)["share"] if o.num_trials else PCA_SHARE
         reduce = reducer(df, "x", share)
         z = reduce.transform(df).select(key, label, "z")
         if o.shape == "logistic_regression":

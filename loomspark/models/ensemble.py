@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -18,14 +19,18 @@ from loomspark.models.descriptors import descriptor
 from loomspark.operators.features import reducer
 from loomspark.operators.folds import folds
 from loomspark.operators.metrics import complement, threshold
-from loomspark.operators.quick import quick_score
+from loomspark.operators.features import is_integer_matrix
+from loomspark.operators.quick import candidate_scores, quick_score
 from loomspark.operators.sampling import partitions
+from loomspark.sources.stored import drop
 from loomspark.sources.tables import check_input, read_json, write_json
 
 PRESETS = {
     "quick": {"num_trials": 0, "num_splits": 0, "max_samples": 10_000, "min_seen": 1},
     "default": {"num_trials": 10, "num_splits": 3, "max_samples": None, "min_seen": None},
 }
+#: Partitions that decide on the reduction for themselves; the majority then holds for the others.
+VOTES = 4
 MODELS = {"logistic_regression": LogisticRegressionModel, "random_forest": RandomForestClassificationModel}
 
 
@@ -55,6 +60,7 @@ class BinaryClassifier:
             raise ValueError(f"unsupported model: {model_type}")
         self.settings = {"model_type": model_type, "mode": mode, "key": key, "features": features, "label": label, "parallelism": parallelism, "min_positive_proportion": 0.01, "max_positive_proportion": 0.5, "min_samples": 30, "min_positive_samples": 10, "max_num_partitions": 100, "random_state": 42, "pca": None, "force": model_type == "logistic_regression"} | PRESETS[mode] | options
         self.models: list[Base] = []
+        self.seconds: float | None = None  # of the last fit
 
     def options(self) -> Options:
         s = self.settings
@@ -63,22 +69,33 @@ class BinaryClassifier:
 
     def fit(self, df: DataFrame) -> BinaryClassifier:
         s = self.settings
-        key, label, features = s["key"], s["label"], s["features"]
+        key, label, features, began = s["key"], s["label"], s["features"], time.perf_counter()
         check_input(df, label=label, key=key)
         rows = df.select(key, label, features).persist()
         try:
             size = s["max_samples"] or choose_max_samples(rows, key, label, features, s["random_state"])
             seen = s["min_seen"] or min_seen(rows.count(), size)
-            parts = partitions(rows, key, label, least=s["min_positive_proportion"], most=s["max_positive_proportion"], max_samples=size, min_samples=s["min_samples"], min_positives=s["min_positive_samples"], max_partitions=s["max_num_partitions"], least_seen=seen, force=s["force"], seed=s["random_state"]).persist()
+
+            def score(made: DataFrame) -> DataFrame:
+                kind = "bernoulli" if is_integer_matrix(rows, key, features).first()["integral"] else "gaussian"
+                return candidate_scores(made, rows, key, label, features, kind=kind, seed=s["random_state"])
+
+            parts = partitions(rows, key, label, least=s["min_positive_proportion"], most=s["max_positive_proportion"], max_samples=size, min_samples=s["min_samples"], min_positives=s["min_positive_samples"], max_partitions=s["max_num_partitions"], least_seen=seen, force=s["force"], seed=s["random_state"], score=score).persist()
             ids = sorted(r[0] for r in parts.select("partition_id").distinct().collect())  # max_num_partitions at most
             data = with_vector(rows, features).select(key, label, "x")
 
-            def one(i: int) -> Base:
-                return fit_base(data.join(parts.filter(F.col("partition_id") == i).select(key), key), key, label, self.options())
+            def one(i: int, options: Options) -> Base:
+                return fit_base(data.join(parts.filter(F.col("partition_id") == i).select(key), key), key, label, options)
 
+            options = self.options()
             with ThreadPoolExecutor(s["parallelism"]) as pool:
-                self.models = list(pool.map(one, ids))
+                self.models = list(pool.map(lambda i: one(i, options), ids[:VOTES]))
+                if options.pca is None:
+                    votes = [m.recorded["pca"] is not None for m in self.models]
+                    options = replace(options, pca=2 * sum(votes) > len(votes))
+                self.models += pool.map(lambda i: one(i, options), ids[VOTES:])
             parts.unpersist()
+            self.seconds = time.perf_counter() - began
             return self
         finally:
             rows.unpersist()
@@ -99,7 +116,8 @@ class BinaryClassifier:
         return threshold(self.predict_proba(df), "p1", t)
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        """partition_000 and so on with the stages, and metadata.json; what was there is overwritten."""
+        """partition_000 and so on with the stages, and metadata.json; what was there is deleted first."""
+        drop(spark, folder)
         meta = {"settings": self.settings, "partitions": [m.recorded | {"calibrated": m.calibrate is not None} for m in self.models]}
         for i, m in enumerate(self.models):
             path = f"{folder}/partition_{i:03d}"

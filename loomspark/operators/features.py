@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VarianceThresholdSelector
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,15 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_all") / (2 * F.col("n"))).alias("weight"))  # one row of two
 
 
+def slot_counts(df: DataFrame, slots: Column, keep: list[str], most: int = 255) -> DataFrame:
+    """(keep, j, v): each slot number of a row's array and how often it occurs, ``most`` at most, counted within the row."""
+    ordered = df.select(*keep, F.array_sort(slots).alias("_s"))
+    border = lambda i: (i == F.size("_s")) | (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))
+    cut = ordered.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_s")), border))
+    runs = F.transform(F.slice("_at", 1, F.size("_at") - 1), lambda i, k: F.struct(F.get("_s", i).alias("j"), F.least(F.get("_at", k + 1) - i, F.lit(most)).cast("int").alias("v")))
+    return cut.select(*keep, F.inline(runs))
+
+
 def vectors(df: DataFrame, features: str, name: str = "x") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.transform(features, lambda v: v.cast("double"))))
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from loomspark.operators.ranks import seeded_rank
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int | str = 42) -> DataFrame:
-    """``df`` with a fold 0 to k - 1; each label's counts differ by 1 at most between folds."""
-    return seeded_rank(df, [label], key, seed, name="_rn").withColumn("fold", (F.col("_rn") % k).cast("int")).drop("_rn")
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int | str = 42, groups: list[str] | None = None) -> DataFrame:
+    """``df`` with a fold 0 to k - 1; each label's counts (within ``groups``) differ by 1 at most between folds."""
+    return seeded_rank(df, [*(groups or []), label], key, seed, name="_rn").withColumn("fold", (F.col("_rn") % k).cast("int")).drop("_rn")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int | str = 42) -> DataFrame:

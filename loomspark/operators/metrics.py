@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.scalars import seeded
 from loomspark.operators.ranks import number_bin, running
 
 
@@ -76,6 +77,17 @@ def ensemble_mean(df: DataFrame, key: str, p: str = "p1") -> DataFrame:
     return df.groupBy(key).agg(F.avg(p).alias(p), F.count("*").alias("n_models"))
 
 
+def majority_vote(df: DataFrame, key: str, p: str = "p1", t: float = 0.5) -> DataFrame:
+    """(key, vote): whether more than half of the models that scored a row reach ``t``."""
+    return df.groupBy(key).agg((2 * F.count_if(F.col(p) >= t) > F.count(p)).alias("vote"))
+
+
+def jittered(df: DataFrame, key: str, seed: int | str = 42, width: float = 0.4) -> DataFrame:
+    """``df`` with a column jitter in [-width / 2, width / 2), fixed by key and seed: the data of a plot of scores."""
+    share = F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("double") / 2**32
+    return df.withColumn("jitter", (share - 0.5) * width)
+
+
 def chunk_ids(df: DataFrame, groups: list[str], order: str, size: int) -> DataFrame:
     """``df`` with its chunk number in key order; ``order`` is a numeric key."""
     binned = df.withColumns({"_bin": number_bin(F.col(order).cast("double")), "_one": F.lit(1).cast("long")})

@@ -35,7 +35,7 @@ def running(df: DataFrame, groups: list[str], bins: list[str], order: list[Colum
     return joined.select(*df.columns, *[(F.col(f"_s_{k}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(k) for k, v in sums.items()])
 
 
-def seeded_rank(df: DataFrame, groups: list[str], key: str, seed: int | str, before: list[str] | None = None, name: str = "rn") -> DataFrame:
+def seeded_rank(df: DataFrame, groups: list[str], key: str, seed: int | str | Column, before: list[str] | None = None, name: str = "rn") -> DataFrame:
     """``df`` with the 0-based rank of each row in its group, by the columns ``before``, then seeded order, then key."""
     before = before or []
     binned = df.withColumn("_h", seeded(key, seed)).withColumn("_bin", F.substring("_h", 1, 3)).withColumn("_one", F.lit(1).cast("long"))

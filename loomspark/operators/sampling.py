@@ -39,15 +39,18 @@ def candidates(df: DataFrame, key: str, label: str, size: dict[int, int], rounds
     second place to nobody, so such a draw may be smaller by those few rows. Counts within a class differ by 2 at most.
     """
     n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect() if r[label] in size}
-    out = None
-    for y, total in sorted(n.items()):
-        own = df.filter(F.col(label) == y).select(key, label)
-        cycles = -(-rounds * size[y] // total)
-        for c in range(cycles):
-            place = seeded_rank(own, [], key, f"{seed}:{y}:{c}", name="_rn").withColumn("_at", F.col("_rn") + c * total)
-            part = place.withColumn("partition_id", F.floor(F.col("_at") / size[y]).cast("int")).filter(F.col("partition_id") < rounds).select("partition_id", key, label)
-            out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    of = lambda values: F.coalesce(*[F.when(F.col(label) == y, F.lit(v)) for y, v in values.items()])
+    cycles = {y: -(-rounds * size[y] // total) for y, total in n.items() if size[y]}
+    if not cycles:
+        return df.limit(0).select(F.lit(0).alias("partition_id"), key, label)
+    dealt = df.filter(F.col(label).isin(list(cycles))).select(key, label).withColumn("_c", F.explode(F.sequence(F.lit(0), of(cycles) - 1)))
+    # a class that every draw takes whole needs no order: the cycle is the draw
+    whole = [y for y in cycles if size[y] == n[y]]
+    ranked = seeded_rank(dealt.filter(~F.col(label).isin(whole)), [label, "_c"], key, F.concat(F.lit(f"{seed}:"), F.col(label), F.lit(":"), F.col("_c")), name="_rn")
+    at = F.col("_rn") + F.col("_c") * of(n)
+    drawn = ranked.select(F.floor(at / of(size)).cast("int").alias("partition_id"), key, label)
+    taken = dealt.filter(F.col(label).isin(whole)).select(F.col("_c").cast("int").alias("partition_id"), key, label)
+    return drawn.unionByName(taken).filter(F.col("partition_id") < rounds).distinct()
 
 
 def seen_counts(parts: DataFrame, universe: DataFrame, key: str) -> DataFrame:
@@ -70,17 +73,26 @@ def pick(parts: DataFrame, wanting: DataFrame, key: str, order: DataFrame) -> Da
     return coverage(parts, wanting, key).join(order, "partition_id").orderBy(F.desc("covered"), "rank").limit(1)
 
 
-def greedy_cover(parts: DataFrame, universe: DataFrame, key: str, order: DataFrame, least: int, most: int = 100) -> list[int]:
-    """Numbers of the accepted partitions, until all rows are seen ``least`` times, none helps, or ``most`` are accepted."""
+def held_by(parts: DataFrame, key: str) -> DataFrame:
+    """(p, n): sorted lists of the partitions that hold a row, and how many rows each list stands for."""
+    return parts.groupBy(key).agg(F.array_sort(F.collect_set("partition_id")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+
+
+def greedy_cover(parts: DataFrame, key: str, order: DataFrame, least: int, most: int = 100) -> list[int]:
+    """Numbers of the accepted partitions, until all rows are seen ``least`` times, none helps, or ``most`` are accepted.
+
+    Rows are reduced to the lists of partitions that hold them once; a pick is one pass over those lists.
+    """
+    lists = stored(held_by(parts, key), "held-by")
+    rank = {r["partition_id"]: r["rank"] for r in order.collect()}  # 1000 at most
     accepted: list[int] = []
     while len(accepted) < most:
-        taken = parts.filter(F.col("partition_id").isin(accepted)) if accepted else parts.limit(0)
-        wanting = under_seen(seen_counts(taken, universe, key), least)
-        rest = parts.filter(~F.col("partition_id").isin(accepted)) if accepted else parts
-        best = pick(rest, wanting, key, order).first()
-        if best is None or not best["covered"]:
+        seen = F.size(F.array_intersect("p", F.lit(accepted).cast("array<int>")))
+        rest = lists.filter(seen < least).select("n", F.explode(F.array_except("p", F.lit(accepted).cast("array<int>"))).alias("partition_id"))
+        covered = rest.groupBy("partition_id").agg(F.sum("n").alias("n")).collect()  # 1000 at most
+        if not covered:
             return accepted
-        accepted.append(best["partition_id"])
+        accepted.append(min(covered, key=lambda r: (-r["n"], rank[r["partition_id"]]))["partition_id"])
     return accepted
 
 
@@ -89,7 +101,7 @@ def jaccard_pairs(parts: DataFrame, key: str) -> DataFrame:
 
     Rows are first reduced to the set of partitions that hold them, so pairs come from distinct sets, not from rows.
     """
-    sets = parts.groupBy(key).agg(F.array_sort(F.collect_set("partition_id")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    sets = held_by(parts, key)
     pairs = sets.select("n", F.explode("p").alias("a"), "p").select("n", "a", F.explode(F.filter("p", lambda b: b > F.col("a"))).alias("b"))
     both = pairs.groupBy("a", "b").agg(F.sum("n").alias("both"))
     size = parts.groupBy("partition_id").agg(F.count("*").alias("n"))
@@ -129,7 +141,7 @@ def partitions(df: DataFrame, key: str, label: str, *, least: float = 0.01, most
     made = made.join(F.broadcast(distinct_partitions(made, key)), "partition_id", "left_semi")
     scored = score(made) if score else made.select("partition_id", F.lit(0.5).alias("auroc")).distinct()
     order = scored.select("partition_id", F.row_number().over(Window.orderBy(F.desc("auroc"), F.desc("partition_id"))).alias("rank"))  # 1000 rows at most
-    chosen = greedy_cover(made, rows, key, order, least_seen, max_partitions)
+    chosen = greedy_cover(made, key, order, least_seen, max_partitions)
     kept = made.filter(F.col("partition_id").isin(chosen))
     kept = kept.join(F.broadcast(redundant(jaccard_pairs(kept, key))), "partition_id", "left_anti")
     number = kept.select("partition_id").distinct().withColumn("_new", (F.row_number().over(Window.orderBy(seeded("partition_id", seed))) - 1).cast("int"))

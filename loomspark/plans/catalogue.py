@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars as S
+from loomspark.models import benchmark as B
 from loomspark.models.base import Options, forest, logistic, platt, positive
 from loomspark.models.ensemble import BinaryClassifier
 from loomspark.operators import features as X
@@ -102,24 +103,23 @@ def q_quota_table(s: SparkSession, d: str) -> DataFrame:
     return rows.select("source", "lo", "hi", "s", "mp", "force", n_pos.alias("n_pos"), n_tot.alias("n_tot"))
 
 
-_SIZES = "(SELECT unnest([100, 1000, 5000, 10000]) AS m)"
+_SIZES = (100, 1000, 5000, 10000)
+_SIZE_ROWS = f"(SELECT unnest({list(_SIZES)}) AS m)"
 
 
-@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(CASE WHEN m >= n THEN 1 ELSE ceil(ln(1 - 0.99::DOUBLE) / ln(1 - m / n::DOUBLE)) END AS BIGINT) AS rounds FROM (SELECT count(*) AS n FROM orders), {_SIZES}")
+def _by_size(s: SparkSession, d: str, columns: str, row: Callable[[int, int], tuple]) -> DataFrame:
+    n = table(s, d, "orders").count()
+    return s.createDataFrame([(n, m, *row(n, m)) for m in _SIZES], f"n long, m long, {columns}")
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(CASE WHEN m >= n THEN 1 ELSE ceil(ln(1 - 0.99::DOUBLE) / ln(1 - m / n::DOUBLE)) END AS BIGINT) AS rounds FROM (SELECT count(*) AS n FROM orders), {_SIZE_ROWS}")
 def q_min_rounds(s: SparkSession, d: str) -> DataFrame:
-    n, m = F.col("n"), F.col("m")
-    sizes = s.createDataFrame([(100,), (1000,), (5000,), (10000,)], "m long")
-    rows = table(s, d, "orders").agg(F.count("*").alias("n")).crossJoin(sizes)  # one row
-    return rows.select("n", "m", F.when(m >= n, 1).otherwise(F.ceil(F.log(F.lit(1) - F.lit(0.99)) / F.log(1 - m / n))).cast("long").alias("rounds"))
+    return _by_size(s, d, "rounds long", lambda n, m: (S.min_rounds(n, m),))
 
 
-@query(f"SELECT n, m, p AS partitions, least(greatest(p, 1), 3) AS seen FROM (SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(CASE WHEN m >= n THEN 1 ELSE greatest(1, ceil(ln(1e-6 / n) / ln(1 - m / n::DOUBLE))) END AS BIGINT) AS p FROM (SELECT count(*) AS n FROM orders), {_SIZES})")
+@query(f"SELECT n, m, p AS partitions, least(greatest(p, 1), 3) AS seen FROM (SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(CASE WHEN m >= n THEN 1 ELSE greatest(1, ceil(ln(1e-6 / n) / ln(1 - m / n::DOUBLE))) END AS BIGINT) AS p FROM (SELECT count(*) AS n FROM orders), {_SIZE_ROWS})")
 def q_min_seen(s: SparkSession, d: str) -> DataFrame:
-    n, m = F.col("n"), F.col("m")
-    sizes = s.createDataFrame([(100,), (1000,), (5000,), (10000,)], "m long")
-    rows = table(s, d, "orders").agg(F.count("*").alias("n")).crossJoin(sizes)  # one row
-    p = F.when(m >= n, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.log(F.lit(1e-6) / n) / F.log(1 - m / n)))).cast("long")
-    return rows.select("n", "m", p.alias("partitions"), F.least(F.greatest(p, F.lit(1)), F.lit(3)).cast("long").alias("seen"))
+    return _by_size(s, d, "partitions long, seen long", lambda n, m: (S.min_partitions(n, m), S.min_seen(n, m)))
 
 
 @query("SELECT CAST(least(10000 + 22500 * i, 100000) AS BIGINT) AS size FROM range(5) AS t(i)")
@@ -260,6 +260,39 @@ def q_partition_report(s: SparkSession, d: str) -> DataFrame:
     return r.select("n_partitions", F.round("avg_positives", 6).alias("avg_positives"), F.round("avg_negatives", 6).alias("avg_negatives"))
 
 
+_DEALT = """k AS (SELECT DISTINCT CAST((rn + c * n) // size AS INTEGER) AS partition_id, o_orderkey, y FROM (
+  SELECT o_orderkey, y, c, row_number() OVER (PARTITION BY y, c ORDER BY md5(concat(o_orderkey, '|42:', y, ':', c)), o_orderkey) - 1 AS rn, n, size
+  FROM (SELECT *, count(*) OVER (PARTITION BY y) AS n, CASE WHEN y = 1 THEN 700 ELSE 1100 END AS size FROM o), range(40) AS r(c)) WHERE (rn + c * n) // size < 12)"""
+
+
+@query(f"WITH {ORD}, {_DEALT} SELECT partition_id, o_orderkey, y FROM k")
+def q_candidates(s: SparkSession, d: str) -> DataFrame:
+    return P.candidates(orders(s, d), "o_orderkey", "y", {1: 700, 0: 1100}, 12)
+
+
+@query(f"""
+WITH {EMB.format(5)}, t AS (SELECT CAST(p AS INTEGER) AS g, vec_id, y, embedding FROM e, range(3) AS r(p) WHERE substr(md5(concat(vec_id, '|', p)), 1, 1) < 'c'),
+f AS (SELECT *, CAST((row_number() OVER (PARTITION BY g, y ORDER BY md5(concat(vec_id, '|42')), vec_id) - 1) % 5 AS INTEGER) AS fold FROM t),
+c AS (SELECT g, vec_id, fold, y, CAST(unnest(range(len(embedding))) AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM f),
+t2 AS (SELECT g, y, j, count(*) AS tn, sum(v) AS ts, sum(v * v) AS tq FROM c GROUP BY ALL),
+h AS (SELECT g, fold, y, j, tn - count(*) AS n, ts - sum(v) AS s, tq - sum(v * v) AS q FROM c JOIN t2 USING (g, y, j) GROUP BY g, fold, y, j, tn, ts, tq),
+x AS (SELECT g, fold, 1e-9 * max(q / n - (s / n) ** 2) AS eps FROM (SELECT g, fold, j, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM h GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT h.g, h.fold, y, j, n, s / n AS m, q / n - (s / n) ** 2 + eps AS w FROM h JOIN x USING (g, fold)),
+p AS (SELECT vec_id, c.g, c.fold, c.y, round(sum(-0.5 * ln(2 * pi() * b.w) - (v - b.m) ** 2 / (2 * b.w) + 0.5 * ln(2 * pi() * a.w) + (v - a.m) ** 2 / (2 * a.w)) + ln(max(b.n) / max(a.n)), 8) AS s
+      FROM c JOIN m a ON a.g = c.g AND a.fold = c.fold AND a.j = c.j AND a.y = 0 JOIN m b ON b.g = c.g AND b.fold = c.fold AND b.j = c.j AND b.y = 1 GROUP BY ALL),
+r AS (SELECT g, fold, s, sum(y) AS tp, sum(1 - y) AS fp FROM p GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(fp) OVER (PARTITION BY g, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r),
+z AS (SELECT g, fold, sum(tp * (below + fp / 2)) / (sum(tp) * sum(fp)) AS auroc FROM w GROUP BY ALL)
+SELECT g AS partition_id, round(avg(auroc), 6) AS auroc FROM z GROUP BY g
+""")
+def q_candidate_scores(s: SparkSession, d: str) -> DataFrame:
+    rows = emb(s, d)
+    p = F.col("id").cast("int")
+    three = rows.select("vec_id", "y").crossJoin(F.broadcast(s.range(3)))  # three rows
+    made = three.filter(F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("|"), p.cast("string"))), 1, 1) < "c").select(p.alias("partition_id"), "vec_id", "y")
+    return Q.candidate_scores(made, rows, "vec_id", "y", "embedding").select("partition_id", F.round("auroc", 6).alias("auroc"))
+
+
 @query()
 def q_partitions(s: SparkSession, d: str) -> DataFrame:
     return P.partitions(orders(s, d), "o_orderkey", "y", max_samples=5000)
@@ -427,24 +460,24 @@ def q_complement(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SCORES} SELECT vec_id, sum(CAST(p1 >= 0.5 AS INTEGER)) > 2 AS vote FROM s GROUP BY ALL")
 def q_majority_vote(s: SparkSession, d: str) -> DataFrame:
-    return _model_scores(s, d).groupBy("vec_id").agg(F.mode((F.col("p1") >= 0.5)).alias("vote"))
+    return M.majority_vote(_model_scores(s, d), "vec_id")
 
 
 @query("""
-WITH a AS (SELECT * FROM (VALUES ('x', 0.5), ('y', 0.75)) AS t(task, left_score)), b AS (SELECT * FROM (VALUES ('y', 0.25), ('z', 1.0)) AS t(task, right_score))
-SELECT task, CAST(left_score AS DOUBLE) AS left_score, CAST(right_score AS DOUBLE) AS right_score FROM a FULL JOIN b USING (task) ORDER BY task
+WITH a AS (SELECT * FROM (VALUES ('ames', 0.5), ('dili', 0.75), ('other', 0.9)) AS t(task, left_score)), b AS (SELECT * FROM (VALUES ('dili', 0.25), ('herg', 1.0)) AS t(task, right_score)),
+c AS (SELECT * FROM (VALUES ('ames', 0.871, 0.002), ('dili', 0.925, 0.005), ('herg', 0.880, 0.002)) AS t(task, mean, std))
+SELECT task, CAST(left_score AS DOUBLE) AS left_score, CAST(right_score AS DOUBLE) AS right_score, CAST(mean AS DOUBLE) AS mean, CAST(std AS DOUBLE) AS std FROM a FULL JOIN b USING (task) JOIN c USING (task) ORDER BY task
 """)
 def q_task_table_outer(s: SparkSession, d: str) -> DataFrame:
-    a = s.createDataFrame([("x", 0.5), ("y", 0.75)], "task string, left_score double")
-    b = s.createDataFrame([("y", 0.25), ("z", 1.0)], "task string, right_score double")
-    return a.join(b, "task", "full").select("task", "left_score", "right_score").orderBy("task")
+    made = lambda rows: s.createDataFrame(rows, "task string, score double")
+    return B.against_leaderboard(made([("ames", 0.5), ("dili", 0.75), ("other", 0.9)]), made([("dili", 0.25), ("herg", 1.0)]), B.leaderboard(s))
 
 
 @query("WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents) SELECT doc_id, CAST(CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 2048 AS INTEGER) AS j, CAST(least(count(*), 255) AS INTEGER) AS v FROM w GROUP BY ALL")
 def q_count_fingerprint(s: SparkSession, d: str) -> DataFrame:
-    w = table(s, d, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")).alias("w"))
-    j = (F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("long") % 2048).cast("int")
-    return w.groupBy("doc_id", j.alias("j")).agg(F.least(F.count("*"), F.lit(255)).cast("int").alias("v"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 2048).cast("int"))
+    return X.slot_counts(table(s, d, "documents"), slots, ["doc_id"])
 
 
 @query("""

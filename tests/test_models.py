@@ -8,6 +8,7 @@ from loomspark.models.descriptors import circular, descriptor, molecule
 from loomspark.models.ensemble import BinaryClassifier, Regressor
 from loomspark.operators.features import is_integer_matrix, reducer
 from loomspark.operators.metrics import auroc
+from loomspark.operators.quick import quick_auroc, quick_score
 from loomspark.sources.tables import check_input, labelled_csv, write_predictions
 from loomspark.streaming.score import score_stream
 
@@ -39,10 +40,49 @@ def test_reducer_drops_constants_and_keeps_variance(spark):
 def test_search_starts_with_the_default_and_ends_early():
     seen = []
     got = search(pca_shares(), lambda p: seen.append(p["share"]) or 0.5, 20)
-    assert got == {"share": 0.9} and seen[0] == 0.9 and len(seen) <= 6
+    assert got == {"share": 0.99} and seen[0] == 0.99 and len(seen) <= 6
     assert len(pca_shares()) == 20
 
 
+def test_slow_steady_gains_go_on():
+    steps = iter(range(100))
+    got = []
+    search([{"i": i} for i in range(40)], lambda p: got.append(0.5 + 0.004 * next(steps)) or got[-1], 40)
+    assert len(got) == 40  # each gains 0.004 over the one before, and 0.01 over the mark every third time
+
+
+def test_reduction_is_voted_on(spark, monkeypatch):
+    from loomspark.models import ensemble
+
+    asked = []
+
+    class Fitted:
+        def __init__(self, pca):
+            self.recorded = {"pca": 0.9 if pca else None}
+
+    def fit(df, key, label, options):
+        asked.append(options.pca)
+        return Fitted(True if options.pca is None else options.pca)
+
+    monkeypatch.setattr(ensemble, "fit_base", fit)
+    n = 700
+    df = spark.createDataFrame([(i, int(i % 10 == 0), [float(i % 7), float(i % 3), 0.5]) for i in range(n)], "row_id long, y int, features array<double>")
+    m = BinaryClassifier("random_forest", "default", max_samples=100, min_seen=1, parallelism=1).fit(df)
+    assert len(m.models) > 5 and asked[:4] == [None] * 4 and set(asked[4:]) == {True} and m.seconds > 0
+
+
+def test_quick_score_picks_the_model_by_the_matrix(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 200)
+    x = (rng.random((200, 5)) < 0.2 + 0.5 * y[:, None]).astype(float) * 3
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(200)], "row_id long, y int, features array<double>")
+    want = [r.auroc for r in quick_auroc(df, "row_id", "y", "features", kind="bernoulli").collect()]
+    assert abs(quick_score(df, "row_id", "y", "features") - sum(want) / 5) < 1e-12 > 0 and 0.8 < sum(want) / 5
+    half = df.withColumn("features", F.transform("features", lambda v: v + 0.5))
+    want = [r.auroc for r in quick_auroc(half, "row_id", "y", "features", kind="gaussian").collect()]
+    assert abs(quick_score(half, "row_id", "y", "features") - sum(want) / 5) < 1e-12
+
+
 def test_ensemble_round_trip_and_stream(spark, tmp_path):
     df = table(spark)
     m = BinaryClassifier("logistic_regression", "quick", pca=False).fit(df)

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import folds as K
@@ -51,6 +54,33 @@ def test_candidates_cover_evenly(spark):
         assert max(counts) - min(counts) <= 2
 
 
+def test_plan_of_candidates_does_not_grow(spark):
+    rows = frame(spark, 400, 40)  # ten positives, taken whole by every draw
+    plans = [P.candidates(rows, "k", "y", {1: 10, 0: 50}, n)._jdf.queryExecution().optimizedPlan().toString() for n in (10, 1000)]
+    assert plans[0].count("Window") == plans[1].count("Window") <= 2 and plans[0].count("\n") == plans[1].count("\n")
+    made = P.candidates(rows, "k", "y", {1: 10, 0: 50}, 12).groupBy("partition_id", "y").count().collect()
+    assert len(made) == 24 and all(r["count"] == 10 if r.y else 48 <= r["count"] <= 50 for r in made)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_cover_equals_plain_picks(spark, seed):
+    r = random.Random(seed)
+    held = {p: {k for k in range(60) if r.random() < 0.3} for p in range(12)}
+    parts = spark.createDataFrame([(p, k) for p, ks in held.items() for k in ks], "partition_id int, k long")
+    order = spark.createDataFrame([(p, (p * 5 + seed) % 12) for p in held], "partition_id int, rank int")
+    for least in (1, 2):
+        want, seen = [], dict.fromkeys(range(60), 0)
+        while len(want) < 100:
+            gain = {p: sum(seen[k] < least for k in ks) for p, ks in held.items() if p not in want}
+            best = min(gain, key=lambda p: (-gain[p], (p * 5 + seed) % 12), default=None)
+            if best is None or not gain[best]:
+                break
+            want.append(best)
+            for k in held[best]:
+                seen[k] += 1
+        assert P.greedy_cover(parts, "k", order, least) == want
+
+
 def test_jaccard_and_redundancy(spark):
     parts = spark.createDataFrame([(0, k) for k in range(100)] + [(1, k) for k in range(99)] + [(2, k) for k in range(50, 150)] + [(3, k) for k in range(100)], "partition_id int, k long")
     pairs = P.jaccard_pairs(parts, "k")
