@@ -31,13 +31,13 @@ from loomspark.llm.text import in_arrow, stored
 
 CAPACITY = 2048
 #: Rounds of the multiplicative weights, pricings in a round, step of the weights, and times the program is solved again.
-ROUNDS = 16
+ROUNDS = 32
 TRIES = 4
 STEP = 16.0
 PASSES = 8
 
-#: Pre-tokens whose ids a task keeps, and characters of the longest: together about 40 MB.
-KEPT, KEPT_LENGTH = 200_000, 32
+#: Pre-tokens whose ids a task keeps, twice, and characters of the longest: together about 60 MB.
+KEPT, KEPT_LENGTH = 150_000, 32
 
 _SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
@@ -53,6 +53,7 @@ class _Ids(dict):
 
     Texts within U+017F are lower-cased and split here and each pre-token meets the model's merges once. White-space
     separated words with other characters, or with a special token's mark, go through the whole tokenizer instead.
+    What the last ``KEPT`` new pre-tokens gave is kept, and what the ``KEPT`` before them gave.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,23 +61,32 @@ class _Ids(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, part: str) -> bytes:
+        if part in self.before:
+            out = self.before[part]
+            self._keep(part, out)
+            return out
         plain = part if part.isascii() and part.isprintable() else self.as_bytes(part)[0][0]
         out = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+        self._keep(part, out)
+        return out
+
+    def _keep(self, part: str, out: bytes) -> None:
         if len(part) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.before = dict(self)
+                self.clear()
             self[part] = out
-        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        if len(self) > KEPT:
-            self.clear()
         if (text.isascii() or not _BEYOND.search(text)) and "<|" not in text:
             return b"".join(map(self.__getitem__, _PRE.findall(text.lower())))
         out = []
@@ -227,7 +237,7 @@ def solution(count: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS)
         more, rest = rounded(left, amount)
         placed = int((left - rest).sum())
         plan, left = plan + more, rest
-        if 100 * placed < total:
+        if 1000 * placed < total:
             break
     made = sum(m for _, m in plan)
     plan = plan + best_fit(left, capacity)
