@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import conversations, decontaminate, exact, oracles, passages, pii, quality, suffixes, tokens, warc
+from loomspark.llm import conversations, decontaminate, exact, oracles, passages, pii, quality, ranked, suffixes, tokens, warc
 from loomspark.llm.neardup import near_duplicates
 from loomspark.llm.packing import pack_documents
 from loomspark.llm.text import table
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.by_section(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, rule="first")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
@@ -73,7 +77,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op4_suffix_dedup, op5_personal_data, op6_quality_rules, op7_warc, op8_passages, op9_toxicity, op10_token_counts, op12_conversation_repair, op13_exact_dedup)
+    for f in (op1_decontamination, op2_near_duplicates, op3_packing, op4_suffix_dedup, op5_personal_data, op6_quality_rules, op7_warc, op8_passages, op9_toxicity, op10_token_counts, op11_ranked_search, op12_conversation_repair, op13_exact_dedup)
 }
 SQL: dict[str, str] = {
     "op1_decontamination": oracles.DECONTAMINATION,
@@ -81,6 +85,7 @@ SQL: dict[str, str] = {
     "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_quality_rules": quality.SQL,
     "op7_warc": warc.SQL,
+    "op11_ranked_search": ranked.SQL,
     "op12_conversation_repair": conversations.SQL,
     "op13_exact_dedup": exact.SQL,
 }
