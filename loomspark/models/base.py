@@ -1,31 +1,36 @@
-"""One partition's model: reduction, balanced logistic regression or forest, calibration, and their search."""
+"""Decisions, searches and fits of all partitions of a pool: reduction, logistic regressions, calibrated forests."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.operators.features import reducer, vectors
-from loomspark.operators.folds import holdout, stratified_folds
+from loomspark.models import forest as T
+from loomspark.models.linear import ALL, Linear, Pool, calibrations, find_spaces, fit_all, reduction_helps, share_scores
+from loomspark.models.search import Range, Search
+from loomspark.operators.features import vectors
+from loomspark.operators.gram import Space
 from loomspark.operators.metrics import auroc
 
 #: Inverse strengths of the L2 penalty that are tried: ten even steps of the logarithm from 1e-4 to 1e4.
 C_GRID = [10 ** (-4 + 8 * i / 9) for i in range(10)]
+#: The share of variance without a search.
+PCA_SHARE = 0.9
+#: Shares of variance that a search looks at.
+PCA_SHARES = Range(0.8, 0.99)
+#: Sets of folds over which a share is judged.
+REPEATS = 3
 
 
 @dataclass(frozen=True)
 class Options:
-    """A fit's options; ``pca`` is True, False, or None to decide."""
+    """A fit's options; ``pca`` is True, False, or None to decide, ``leaves`` None for no bound."""
 
     num_trials: int = 5
     num_splits: int = 3
@@ -34,7 +39,8 @@ class Options:
     seed: int = 42
     trees: int = 100
     max_features: float | None = None
-    max_depth: int = 15
+    leaves: int | None = None
+    max_depth: int = T.DEEPEST
     shape: str = "logistic_regression"
 
 
@@ -48,15 +54,9 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
 
 
 def logistic(df: DataFrame, vector: str, label: str, c: float):
-    """Balanced L2 logistic regression with the penalty of strength 1 / (c n)."""
+    """One balanced L2 logistic regression by Spark's own optimiser, with the penalty of strength 1 / (c n)."""
     n = df.count()
-    return LogisticRegression(featuresCol=vector, labelCol=label, weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, probabilityCol="probability").fit(weighted(df, label))
-
-
-def forest(df: DataFrame, vector: str, label: str, o: Options):
-    """Balanced random forest. Leaves are bounded by depth, there being no bound on their number."""
-    subset = "sqrt" if o.max_features is None else str(float(o.max_features))
-    return RandomForestClassifier(featuresCol=vector, labelCol=label, weightCol="weight", numTrees=o.trees, featureSubsetStrategy=subset, impurity="gini", maxDepth=o.max_depth, seed=o.seed, probabilityCol="probability").fit(weighted(df, label))
+    return LogisticRegression(featuresCol=vector, labelCol=label, weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9, probabilityCol="probability").fit(weighted(df, label))
 
 
 def positive(model, df: DataFrame, name: str = "p1") -> DataFrame:
@@ -65,161 +65,132 @@ def positive(model, df: DataFrame, name: str = "p1") -> DataFrame:
     return model.transform(df).withColumn(name, F.element_at(vector_to_array("probability"), 2)).drop(*drop)
 
 
-def score(model, df: DataFrame, label: str) -> float:
-    r = auroc(positive(model, df), "p1", label).first()["auroc"]
-    return float("nan") if r is None else r
+def with_vector(df: DataFrame, features: str) -> DataFrame:
+    return vectors(df, features, "x")
 
 
-def best_c(df: DataFrame, key: str, vector: str, label: str, k: int = 4, seed: int = 42, grid: list[float] | None = None) -> tuple[float, dict[str, float]]:
-    """The C with the best mean AUROC over folds, and the recorded scores: of the best C, and over all C's fold means."""
-    placed = stratified_folds(df.select(key, vector, label), key, label, k, seed).persist()
-    try:
-        table = np.array([[score(logistic(placed.filter(F.col("fold") != f), vector, label, c), placed.filter(F.col("fold") == f), label) for c in grid or C_GRID] for f in range(k)])
-    finally:
-        placed.unpersist()
-    best = int(np.nanmean(table, axis=0).argmax())
-    over_c = np.nanmean(table, axis=1)
-    return (grid or C_GRID)[best], {"best_c_score": float(np.nanmean(table[:, best])), "mean_score_all_c": float(over_c.mean()), "std_score_all_c": float(over_c.std())}
+# ---- decisions
 
 
-def pca_helps(df: DataFrame, key: str, vector: str, label: str, seed: int = 42, k: int = 4, share: float = 0.9, slack: float = 0.02) -> bool:
-    """Whether mean AUROC with reduction is above that without it, or within ``slack`` of it, on the same folds."""
-    placed = stratified_folds(df.select(key, vector, label), key, label, k, seed).persist()
+def splits(o: Options) -> list[tuple]:
+    """Splits of a fit's pool: for the decision and the search over C; repeats for the search over shares; hold-out parts."""
+    shares = [(3, o.seed + r) for r in range(REPEATS if o.pca is not False and o.num_trials else 0)]
+    held = [(2, o.seed + r, o.test_size) for r in range(o.num_splits if o.shape == "random_forest" else 0)]
+    return [(max(3, int(1 / o.test_size)), o.seed), *shares, *held]
 
-    def mean(reduce: float | None) -> float:
-        got = []
-        for f in range(k):
-            train, test = placed.filter(F.col("fold") != f), placed.filter(F.col("fold") == f)
-            r = reducer(train, vector, reduce)
-            got.append(score(logistic(r.transform(train), "z", label, 1.0), r.transform(test), label))
-        return float(np.mean(got))
 
-    try:
-        return mean(share) >= mean(None) - slack
-    finally:
-        placed.unpersist()
+def _numbers(p: Pool, held: bool) -> list[int]:
+    """Numbers of the pool's splits for hold-out parts, or for shares."""
+    return [i for i, s in enumerate(p.splits) if i and (len(s) == 3) == held]
 
 
-def search(space: list[dict], objective, trials: int, seed: int = 42, gain: float = 0.01) -> dict:
-    """The best of ``trials`` points of a space, the first being its first trial; the rest in seeded order.
+def decide(p: Pool, o: Options, votes: int = 4) -> dict[int, float | None]:
+    """For each partition the share of variance that its reduction keeps, or None for no reduction.
 
-    Ends early when max(5, trials // 5) points in a row have not passed a mark by more than ``gain``. The mark moves only to
-    points that pass it so, and slow steady gains therefore add up.
+    The first ``votes`` partitions decide for themselves, their majority for all others (a tie: no reduction). Shares are
+    searched over whole hundredths, partitions side by side.
     """
-    if not trials:
-        return space[0]
-    order = [0, *(1 + np.random.default_rng(seed).permutation(len(space) - 1))][:trials] if len(space) > 1 else [0]
-    patience, best, value, mark, waited = max(5, trials // 5), space[0], -math.inf, -math.inf, 0
-    for i in order:
-        v = objective(space[i])
-        mark, waited = (v, 0) if v > mark + gain else (mark, waited + 1)
-        if v > value:
-            best, value = space[i], v
-        if waited >= patience:
-            break
-    return best
-
-
-def pca_shares() -> list[dict]:
-    """Shares of variance 0.80 to 0.99, the first trial 0.99 first."""
-    return [{"share": round(0.99 - i / 100, 2)} for i in range(20)]
-
-
-#: The share of variance without a search.
-PCA_SHARE = 0.9
-
+    parts = p.parts
+    if o.pca is None:
+        own = reduction_helps(p, parts[:votes])
+        most = 2 * sum(own.values()) > len(own)
+        use = {part: own.get(part, most) for part in parts}
+    else:
+        use = dict.fromkeys(parts, bool(o.pca))
+    out: dict[int, float | None] = {part: PCA_SHARE if use[part] else None for part in parts}
+    searches = {part: Search({"share": PCA_SHARES}, {"share": 0.99}, o.num_trials, o.seed) for part in parts if use[part] and o.num_trials}
+    while open_ := {part: s for part, s in searches.items() if not s.over}:
+        asked = {part: round(s.ask()["share"], 2) for part, s in open_.items()}
+        scores = share_scores(p, asked, _numbers(p, False))
+        for part, s in open_.items():
+            s.tell({"share": asked[part]}, scores[part])
+    return out | {part: s.best["share"] for part, s in searches.items()}
+
+
+def forest_space(o: Options, width: int, rows: int) -> tuple[dict[str, Range], dict]:
+    """(ranges, first trial): trees within 100 of the default and 10 to 1000, features within 0.2 of it and 0.05 to 1, leaves
+    from an octave below it (16 at least) to an octave above it or as many as the training rows. What has no number by default
+    (leaves without a bound, the square root of the features) is not searched.
+    """
+    first = {"trees": o.trees, "max_features": o.max_features, "leaves": o.leaves}
+    space = {"trees": Range(max(10, o.trees - 100), min(1000, o.trees + 100), whole=True)}
+    if o.max_features is not None:
+        space["max_features"] = Range(max(0.05, o.max_features - 0.2), min(1.0, o.max_features + 0.2))
+    if o.leaves is not None:
+        train = int(rows * (1 - o.test_size))
+        octave = math.log2(max(o.leaves, 1))
+        low, high = min(round(2 ** max(4, octave - 1)), train), max(round(2 ** min(10, octave + 1)), train, o.leaves)
+        space["leaves"] = Range(max(2, min(low, high)), max(2, high), whole=True, log=True)
+    return space, first
 
-def forest_space(o: Options, width: int) -> list[dict]:
-    """Trees within 100 of the default and 10 to 1000, features within 0.2 of it and 0.05 to 1, depth one octave of leaves either side."""
-    own = o.max_features or min(1.0, math.sqrt(width) / width)
-    out = [{"trees": o.trees, "max_features": o.max_features, "max_depth": o.max_depth}]
-    for t in (-100, -50, 0, 50, 100):
-        for f in (-0.2, -0.1, 0.0, 0.1, 0.2):
-            for d in (-1, 0, 1):
-                p = {"trees": min(1000, max(10, o.trees + t)), "max_features": round(min(1.0, max(0.05, own + f)), 4), "max_depth": min(30, max(1, o.max_depth + d))}
-                if p not in out:
-                    out.append(p)
-    return out
 
+# ---- fits
 
-def platt(df: DataFrame, p: str, label: str, c: float = 1.0):
-    """A one-feature logistic regression from raw to calibrated probability, with its assembler."""
-    n = df.count()
-    stage = VectorAssembler(inputCols=[p], outputCol="_platt")
-    own = stage.transform(df.select(F.col(p), F.col(label)))
-    fitted = LogisticRegression(featuresCol="_platt", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, probabilityCol="_calibrated", rawPredictionCol="_raw_c", predictionCol="_pred_c").fit(own)
-    return PipelineModel([stage, fitted])
 
+def fit_linear(p: Pool, o: Options, votes: int = 4) -> dict[int, Linear]:
+    """A logistic regression for each partition."""
+    return fit_all(p, decide(p, o, votes), C_GRID)
 
-@dataclass
-class Base:
-    """A fitted model of one partition: reduction, classifier, calibrator, and what the fit recorded."""
 
-    reduce: PipelineModel
-    model: object
-    calibrate: PipelineModel | None
-    recorded: dict
+def forest_rows(p: Pool, shares: dict[int, float | None]) -> T.Binned:
+    """The pool's rows in the spaces of the reductions, cut into bins."""
+    find_spaces(p, p.parts, [0])
+    spaces = {part: p.spaces["plain" if shares[part] is None else "components", part, 0, ALL] for part in p.parts}
+    widths = {part: s.width(shares[part]) for part, s in spaces.items()}
+    # features as they are need no centre
+    spaces = {part: Space(np.zeros_like(s.about), s.basis) if s.basis.ndim == 1 else s for part, s in spaces.items()}
+    return T.binned(p, spaces, widths)
 
-    def transform(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` (with a vector x) with the probability ``name``."""
-        keep = df.columns
-        out = positive(self.model, self.reduce.transform(df), "_p")
-        if self.calibrate is None:
-            return out.select(*keep, F.col("_p").alias(name))
-        return self.calibrate.transform(out).select(*keep, F.element_at(vector_to_array("_calibrated"), 2).alias(name))
 
+def fit_forests(p: Pool, o: Options, votes: int = 4) -> dict[int, T.Forest]:
+    """A calibrated forest for each partition.
 
-def fit_base(df: DataFrame, key: str, label: str, o: Options) -> Base:
-    """Fit one partition (key, label, x)."""
-    df = df.persist()
+    Trials are judged on one hold-out part, ``num_splits`` times with other seeds, without class weights. The calibrator is
+    fitted to the pooled scores of the chosen forest's hold-out parts, one for each seed: with a reduction at C = 1, without
+    one at the C of least log-loss. Without hold-out parts it is fitted to scores of the training rows at C = 1e-6.
+    """
+    held = _numbers(p, True)
+    if o.num_trials and not held:
+        raise ValueError("a search needs one split or more")
+    shares = decide(p, o, votes)
+    d = forest_rows(p, shares)
     try:
-        use = pca_helps(df, key, "x", label, o.seed) if o.pca is None else o.pca
-        share = None
-        if use:
-            def value(p: dict) -> float:
-                z = reducer(df, "x", p["share"]).transform(df)
-                return best_c(z, key, "z", label, 3, o.seed, [1.0])[1]["best_c_score"]
-
-            share = search(pca_shares(), value, o.num_trials, o.seed)["share"] if o.num_trials else PCA_SHARE
-        reduce = reducer(df, "x", share)
-        z = reduce.transform(df).select(key, label, "z")
-        if o.shape == "logistic_regression":
-            c, recorded = best_c(z, key, "z", label, max(3, int(1 / o.test_size)), o.seed)
-            return Base(reduce, logistic(z, "z", label, c), None, recorded | {"c": c, "pca": share})
-        width = len(z.first()["z"])
-        splits = [holdout(z, key, label, o.test_size, o.seed + r).persist() for r in range(o.num_splits)]
-
-        def objective(p: dict) -> float:
-            return float(np.mean([score(forest(s.filter("NOT held_out"), "z", label, replace(o, **p)), s.filter("held_out"), label) for s in splits]))
-
-        if o.num_trials and not splits:
-            raise ValueError("a search needs one split or more")
-        chosen = replace(o, **search(forest_space(o, width), objective, o.num_trials, o.seed))
-        model = forest(z, "z", label, chosen)
-        if splits:
-            held = None
-            for s in splits:
-                part = positive(forest(s.filter("NOT held_out"), "z", label, chosen), s.filter("held_out")).select("p1", label)
-                held = part if held is None else held.unionByName(part)
-            calibrate = platt(held, "p1", label)
+        made = lambda part, settings, **more: T.Grow(part, **({"depth": o.max_depth, "seed": o.seed} | settings | more))
+        rows = {part: sum(p.size(part, 0, ALL)) for part in p.parts}
+        searches = {part: Search(*forest_space(o, d.width[part], rows[part]), o.num_trials, o.seed) for part in p.parts}
+        while o.num_trials and (open_ := {part: s for part, s in searches.items() if not s.over}):
+            asked = {part: s.ask() for part, s in open_.items()}
+            problems = [made(part, settings, split=held[0], left=1, balanced=False, seed=o.seed + r) for part, settings in asked.items() for r in range(len(held))]
+            scores = dict(_aurocs(d, problems, T.grow(d, problems)))
+            for i, (part, s) in enumerate(open_.items()):
+                s.tell(asked[part], float(np.mean([scores.get(i * len(held) + r, math.nan) for r in range(len(held))])))
+        chosen = {part: s.best for part, s in searches.items()}
+        final = [made(part, chosen[part], split=ALL, left=ALL) for part in p.parts]
+        grown = T.grow(d, final)
+        judged: dict[int, list[float]] = {}
+        if held:
+            parts = [made(part, chosen[part], split=s, left=1) for part in p.parts for s in held]
+            trees = T.grow(d, parts)
+            for j, a in _aurocs(d, parts, trees):
+                judged.setdefault(parts[j].part, []).append(a)
+            of_part = F.element_at(F.array(*[F.lit(q.part) for q in parts]), F.col("j") + 1)
+            scores = T.held_scores(d, parts, trees).withColumn("j", of_part)
+            reduced = [part for part in p.parts if shares[part] is not None]
+            plain = [part for part in p.parts if shares[part] is None]
+            found = (calibrations(scores.filter(F.col("j").isin(reduced)), [1.0]) if reduced else {}) | (calibrations(scores.filter(F.col("j").isin(plain)), C_GRID) if plain else {})
         else:
-            calibrate = platt(positive(model, z), "p1", label, 1e-6)
-        calibrate.stages[0].setInputCols(["_p"])
-        for s in splits:
-            s.unpersist()
-        return Base(reduce, model, calibrate, {k: v for k, v in asdict(chosen).items() if k in ("trees", "max_features", "max_depth")} | {"pca": share})
+            of_part = F.element_at(F.array(*[F.lit(q.part) for q in final]), F.col("j") + 1)
+            found = calibrations(T.held_scores(d, final, grown).withColumn("j", of_part), [1e-6])
+        out = {}
+        for q, trees in zip(final, grown, strict=True):
+            slope, intercept, c = found[q.part]
+            recorded = chosen[q.part] | {"pca": shares[q.part], "held_out": judged.get(q.part, []), "c": c, "trials": len(searches[q.part].seen)}
+            out[q.part] = T.Forest(d.space[q.part], d.width[q.part], d.edges[q.part], trees, slope, intercept, recorded)
+        return out
     finally:
-        df.unpersist()
-
+        d.rows.unpersist()
 
-def ridge(df: DataFrame, vector: str, target: str, grid: list[float] | None = None, seed: int = 42):
-    """Ridge regression with the penalty of best R2 on a held-out quarter, refitted on all rows."""
-    train, test = df.randomSplit([0.75, 0.25], seed)
-    judge = RegressionEvaluator(labelCol=target, metricName="r2")
-    fit = lambda rows, a: LinearRegression(featuresCol=vector, labelCol=target, elasticNetParam=0.0, regParam=a).fit(rows)
-    best = max(grid or [0.001, 0.01, 0.1, 1.0, 10.0], key=lambda a: judge.evaluate(fit(train, a).transform(test)))
-    return fit(df, best)
 
-
-def with_vector(df: DataFrame, features: str) -> DataFrame:
-    return vectors(df, features, "x")
+def _aurocs(d: T.Binned, problems: list[T.Grow], grown: list[T.Flat]) -> list[tuple[int, float]]:
+    rows = auroc(T.held_scores(d, problems, grown), "p1", "y", ["j"]).collect()  # a row for each problem
+    return sorted((r["j"], math.nan if r["auroc"] is None else r["auroc"]) for r in rows)

@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import json
 import time
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import replace
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
-from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import min_seen, step_grid
-from loomspark.models.base import Base, Options, fit_base, ridge, with_vector
+from loomspark.models.base import Options, fit_forests, fit_linear, splits
 from loomspark.models.descriptors import descriptor
-from loomspark.operators.features import reducer
+from loomspark.models.forest import Forest
+from loomspark.models.linear import Linear, pool
+from loomspark.models.ridge import Ridge, fit_ridge
+from loomspark.operators.features import is_integer_matrix
 from loomspark.operators.folds import folds
+from loomspark.operators.gram import Space
 from loomspark.operators.metrics import complement, threshold
-from loomspark.operators.features import is_integer_matrix
 from loomspark.operators.quick import candidate_scores, quick_score
 from loomspark.operators.sampling import partitions
 from loomspark.sources.stored import drop
-from loomspark.sources.tables import check_input, read_json, write_json
+from loomspark.sources.tables import check_input, exists, is_empty, read_json, write_json
 
 PRESETS = {
     "quick": {"num_trials": 0, "num_splits": 0, "max_samples": 10_000, "min_seen": 1},
@@ -31,7 +33,57 @@ PRESETS = {
 }
 #: Partitions that decide on the reduction for themselves; the majority then holds for the others.
 VOTES = 4
-MODELS = {"logistic_regression": LogisticRegressionModel, "random_forest": RandomForestClassificationModel}
+MODELS = {"logistic_regression": fit_linear, "random_forest": fit_forests}
+
+
+def mean_score(models: list, features: str) -> Column:
+    """The mean score of the models for an array of features; rows are scored in Arrow batches, null features give null."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            there = x.notna().to_numpy()
+            out = np.full(len(x), np.nan)
+            if there.any():
+                rows = np.stack(x[there].to_numpy()).astype(np.float64)
+                out[there] = sum(m.score(rows) for m in models) / len(models)
+            yield pd.Series(out).where(there)
+
+    return score(F.transform(features, lambda v: v.cast("double")))
+
+
+def to_json(m: Linear | Forest | Ridge) -> dict:
+    """A model as JSON."""
+    if not isinstance(m, Forest):
+        return {"weights": m.weights.tolist(), "intercept": m.intercept, "recorded": m.recorded}
+    s = m.space
+    space = {"about": s.about.tolist(), "basis": s.basis.tolist(), "shares": None if s.shares is None else s.shares.tolist()}
+    return {"space": space, "width": m.width, "edges": [e.tolist() for e in m.edges], "trees": [[v.tolist() for v in t] for t in m.trees], "slope": m.slope, "intercept": m.intercept, "recorded": m.recorded}
+
+
+def from_json(kind: str, d: dict) -> Linear | Forest | Ridge:
+    if kind != "random_forest":
+        return (Ridge if kind == "ridge" else Linear)(np.array(d["weights"]), d["intercept"], d["recorded"])
+    s = d["space"]
+    basis = np.array(s["basis"])
+    space = Space(np.array(s["about"]), basis if basis.ndim == 2 else basis.astype(np.int64), None if s["shares"] is None else np.array(s["shares"]))
+    trees = [(np.array(f, np.int32), np.array(c, np.int32), np.array(left, np.int32), np.array(v)) for f, c, left, v in d["trees"]]
+    return Forest(space, d["width"], [np.array(e, float) for e in d["edges"]], trees, d["slope"], d["intercept"], d["recorded"])
+
+
+def save_models(spark: SparkSession, folder: str, models: list, meta: dict) -> None:
+    """partition_000 and so on, and metadata.json. What an ensemble has left there is deleted first; any other folder raises."""
+    if exists(spark, folder):
+        if not exists(spark, f"{folder}/metadata.json") and not is_empty(spark, folder):
+            raise ValueError(f"{folder} holds something else than an ensemble")
+        drop(spark, folder)
+    for i, m in enumerate(models):
+        write_json(spark, to_json(m), f"{folder}/partition_{i:03d}/model.json")
+    write_json(spark, meta | {"partitions": len(models)}, f"{folder}/metadata.json")
+
+
+def load_models(spark: SparkSession, folder: str, kind: str, n: int) -> list:
+    return [from_json(kind, read_json(spark, f"{folder}/partition_{i:03d}/model.json")) for i in range(n)]
 
 
 def choose_max_samples(df: DataFrame, key: str, label: str, features: str, seed: int = 42) -> int:
@@ -53,18 +105,18 @@ def choose_max_samples(df: DataFrame, key: str, label: str, features: str, seed:
 class BinaryClassifier:
     """A partitioned ensemble over a table (key, features array, label)."""
 
-    def __init__(self, model_type: str = "random_forest", mode: str = "default", *, key: str = "row_id", features: str = "features", label: str = "y", parallelism: int = 2, **options) -> None:
+    def __init__(self, model_type: str = "random_forest", mode: str = "default", *, key: str = "row_id", features: str = "features", label: str = "y", **options) -> None:
         if mode not in PRESETS:
             raise ValueError(f"unsupported mode: {mode}")
         if model_type not in MODELS:
             raise ValueError(f"unsupported model: {model_type}")
-        self.settings = {"model_type": model_type, "mode": mode, "key": key, "features": features, "label": label, "parallelism": parallelism, "min_positive_proportion": 0.01, "max_positive_proportion": 0.5, "min_samples": 30, "min_positive_samples": 10, "max_num_partitions": 100, "random_state": 42, "pca": None, "force": model_type == "logistic_regression"} | PRESETS[mode] | options
-        self.models: list[Base] = []
+        self.settings = {"model_type": model_type, "mode": mode, "key": key, "features": features, "label": label, "min_positive_proportion": 0.01, "max_positive_proportion": 0.5, "min_samples": 30, "min_positive_samples": 10, "max_num_partitions": 100, "random_state": 42, "pca": None, "force": model_type == "logistic_regression"} | PRESETS[mode] | options
+        self.models: list[Linear | Forest] = []
         self.seconds: float | None = None  # of the last fit
 
     def options(self) -> Options:
         s = self.settings
-        own = {k: s[k] for k in ("trees", "max_features", "max_depth", "test_size") if k in s}
+        own = {k: s[k] for k in ("trees", "max_features", "leaves", "max_depth", "test_size") if k in s}
         return replace(Options(num_trials=s["num_trials"], num_splits=s["num_splits"], pca=s["pca"], seed=s["random_state"], shape=s["model_type"]), **own)
 
     def fit(self, df: DataFrame) -> BinaryClassifier:
@@ -81,19 +133,11 @@ class BinaryClassifier:
                 return candidate_scores(made, rows, key, label, features, kind=kind, seed=s["random_state"])
 
             parts = partitions(rows, key, label, least=s["min_positive_proportion"], most=s["max_positive_proportion"], max_samples=size, min_samples=s["min_samples"], min_positives=s["min_positive_samples"], max_partitions=s["max_num_partitions"], least_seen=seen, force=s["force"], seed=s["random_state"], score=score).persist()
-            ids = sorted(r[0] for r in parts.select("partition_id").distinct().collect())  # max_num_partitions at most
-            data = with_vector(rows, features).select(key, label, "x")
-
-            def one(i: int, options: Options) -> Base:
-                return fit_base(data.join(parts.filter(F.col("partition_id") == i).select(key), key), key, label, options)
-
             options = self.options()
-            with ThreadPoolExecutor(s["parallelism"]) as pool:
-                self.models = list(pool.map(lambda i: one(i, options), ids[:VOTES]))
-                if options.pca is None:
-                    votes = [m.recorded["pca"] is not None for m in self.models]
-                    options = replace(options, pca=2 * sum(votes) > len(votes))
-                self.models += pool.map(lambda i: one(i, options), ids[VOTES:])
+            pooled = pool(rows, parts, key, label, features, splits(options))
+            made = MODELS[s["model_type"]](pooled, options, VOTES)
+            self.models = [made[part] for part in sorted(made)]
+            pooled.rows.unpersist()
             parts.unpersist()
             self.seconds = time.perf_counter() - began
             return self
@@ -104,38 +148,22 @@ class BinaryClassifier:
         """``df`` with p0 and p1; one scan, all models row by row, so it serves streams as well."""
         if not self.models:
             raise ValueError("not fitted")
-        out = with_vector(df, self.settings["features"])
-        names = [f"_p{i}" for i in range(len(self.models))]
-        for name, m in zip(names, self.models, strict=True):
-            out = m.transform(out, name)
-        mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
-        return complement(out.withColumn("p1", mean)).drop("x", *names)
+        return complement(df.withColumn("p1", mean_score(self.models, self.settings["features"])))
 
     def predict(self, df: DataFrame, t: float = 0.5) -> DataFrame:
         """``predict_proba`` with prediction, 1 where p1 >= t."""
         return threshold(self.predict_proba(df), "p1", t)
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        """partition_000 and so on with the stages, and metadata.json; what was there is deleted first."""
-        drop(spark, folder)
-        meta = {"settings": self.settings, "partitions": [m.recorded | {"calibrated": m.calibrate is not None} for m in self.models]}
-        for i, m in enumerate(self.models):
-            path = f"{folder}/partition_{i:03d}"
-            m.reduce.write().overwrite().save(f"{path}/reducer")
-            m.model.write().overwrite().save(f"{path}/model")
-            if m.calibrate is not None:
-                m.calibrate.write().overwrite().save(f"{path}/calibrator")
-        write_json(spark, meta, f"{folder}/metadata.json")
+        """partition_000 and so on with the models, and metadata.json; an ensemble that was there is deleted first."""
+        save_models(spark, folder, self.models, {"settings": self.settings})
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> BinaryClassifier:
         meta = read_json(spark, f"{folder}/metadata.json")
         s = meta["settings"]
         out = cls(s["model_type"], s["mode"], **{k: v for k, v in s.items() if k not in ("model_type", "mode")})
-        for i, recorded in enumerate(meta["partitions"]):
-            path = f"{folder}/partition_{i:03d}"
-            calibrate = PipelineModel.load(f"{path}/calibrator") if recorded["calibrated"] else None
-            out.models.append(Base(PipelineModel.load(f"{path}/reducer"), MODELS[s["model_type"]].load(f"{path}/model"), calibrate, {k: v for k, v in recorded.items() if k != "calibrated"}))
+        out.models = load_models(spark, folder, s["model_type"], meta["partitions"])
         return out
 
 
@@ -180,38 +208,30 @@ class Regressor:
 
     def __init__(self, *, key: str = "row_id", features: str = "features", target: str = "y", n_partitions: int = 3, pca: float | None = None, seed: int = 42) -> None:
         self.settings = {"key": key, "features": features, "target": target, "n_partitions": n_partitions, "pca": pca, "seed": seed}
-        self.models: list[tuple[PipelineModel, LinearRegressionModel]] = []
+        self.models: list[Ridge] = []
 
     def fit(self, df: DataFrame) -> Regressor:
         s = self.settings
         check_input(df, label=s["target"], key=s["key"], fit=False)
-        rows = folds(with_vector(df.select(s["key"], s["target"], s["features"]), s["features"]), s["key"], s["n_partitions"], s["seed"]).persist()
-        for i in range(s["n_partitions"]):
-            own = rows.filter(F.col("fold") != i) if s["n_partitions"] > 1 else rows
-            r = reducer(own, "x", s["pca"])
-            self.models.append((r, ridge(r.transform(own), "z", s["target"], seed=s["seed"])))
+        n = s["n_partitions"]
+        dealt = folds(df.select(s["key"], s["target"], s["features"]), s["key"], n, s["seed"])
+        # a partition has all rows but those of its fold
+        parts = F.array(F.lit(0)) if n == 1 else F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i != F.col("fold"))
+        rows = dealt.withColumn("_part", F.explode(parts)).persist()
+        made = fit_ridge(rows, s["features"], s["target"], "_part", share=s["pca"])
         rows.unpersist()
+        self.models = [made[i] for i in sorted(made)]
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out, keep = with_vector(df, self.settings["features"]), df.columns
-        names = []
-        for i, (r, m) in enumerate(self.models):
-            names.append(f"_p{i}")
-            out = m.transform(r.transform(out)).select(*keep, "x", *names[:-1], F.col("prediction").alias(names[-1]))
-        return out.withColumn("prediction", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop("x", *names)
+        return df.withColumn("prediction", mean_score(self.models, self.settings["features"]))
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        for i, (r, m) in enumerate(self.models):
-            r.write().overwrite().save(f"{folder}/partition_{i:03d}/reducer")
-            m.write().overwrite().save(f"{folder}/partition_{i:03d}/model")
-        write_json(spark, self.settings | {"partitions": len(self.models)}, f"{folder}/metadata.json")
+        save_models(spark, folder, self.models, self.settings)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Regressor:
         meta = read_json(spark, f"{folder}/metadata.json")
         out = cls(**{k: v for k, v in meta.items() if k != "partitions"})
-        out.models = [(PipelineModel.load(f"{folder}/partition_{i:03d}/reducer"), LinearRegressionModel.load(f"{folder}/partition_{i:03d}/model")) for i in range(meta["partitions"])]
+        out.models = load_models(spark, folder, "ridge", meta["partitions"])
         return out
-
-

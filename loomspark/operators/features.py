@@ -1,28 +1,19 @@
-"""Per-feature statistics of array columns, scaling, and principal components by share of variance.
-
-Statistics of wide features use ``Summarizer``; the long form (one row per cell) serves where a relational form is
-wanted, as in quick scores over narrow features.
-"""
+"""Per-feature statistics of array columns, scaling, and counts of slots. Components are in ``operators.gram``."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler, VarianceThresholdSelector
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def long_form(df: DataFrame, key: str, features: str, keep: list[str] | None = None) -> DataFrame:
-    """(key, keep, j, v): one row per cell, j from 0."""
-    return df.select(key, *(keep or []), F.posexplode(features).alias("j", "v")).withColumn("v", F.col("v").cast("double"))
-
-
 def moments(df: DataFrame, key: str, features: str) -> DataFrame:
-    """(j, n, mean, variance) with the population variance."""
-    return long_form(df, key, features).groupBy("j").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+    """(j, n, mean, variance) with the population variance; one row of sums, then a row for each feature."""
+    made = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.transform(features, lambda v: v.cast("double"))))
+    row = df.agg(made.alias("s")).select(F.col("s.count").alias("n"), vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"))
+    each = row.select("n", F.posexplode(F.arrays_zip("m", "v")).alias("j", "e"))
+    return each.select("j", "n", F.col("e.m").alias("mean"), (F.col("e.v") * (F.col("n") - 1) / F.col("n")).alias("variance"))
 
 
 def varying(df: DataFrame, key: str, features: str, least: float = 0.0) -> DataFrame:
@@ -32,23 +23,10 @@ def varying(df: DataFrame, key: str, features: str, least: float = 0.0) -> DataF
 
 def standardised(df: DataFrame, key: str, features: str) -> DataFrame:
     """(key, j, z): cells less their mean, over the population deviation; constant features give 0."""
-    m = F.broadcast(moments(df, key, features))  # one row per feature
-    return long_form(df, key, features).join(m, "j").select(key, "j", F.when(F.col("variance") > 0, (F.col("v") - F.col("mean")) / F.sqrt("variance")).otherwise(0.0).alias("z"))
-
-
-def covariance(df: DataFrame, key: str, features: str, width: int) -> DataFrame:
-    """(i, j, cov) for i <= j < width: population covariances, each pair an aggregate over one scan."""
-    at = [F.element_at(features, i + 1).cast("double").alias(f"x{i}") for i in range(width)]
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    row = df.select(*at).agg(*[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs])).alias("e")).select("e.*")
-
-
-def covariances(df: DataFrame, key: str, features: str) -> DataFrame:
-    """(i, j, cov) for i <= j over the whole width of the data: population covariances, one group for each pair."""
-    x = F.transform(features, lambda v: v.cast("double"))
-    pairs = F.flatten(F.transform(x, lambda v, i: F.transform(F.slice(x, i + 1, F.size(x) - i), lambda w, d: F.struct(i.alias("i"), (i + d).alias("j"), v.alias("x"), w.alias("y")))))
-    return df.select(F.inline(pairs)).groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    each = F.sort_array(F.collect_list(F.struct("j", "mean", F.sqrt("variance").alias("sd"))))
+    m = F.broadcast(moments(df, key, features).agg(each.alias("_m")))  # one row
+    z = F.zip_with(features, F.col("_m"), lambda v, p: F.when(p["sd"] > 0, (v.cast("double") - p["mean"]) / p["sd"]).otherwise(F.lit(0.0)))
+    return df.crossJoin(m).select(key, F.posexplode(z).alias("j", "z"))
 
 
 def is_integer_matrix(df: DataFrame, key: str, features: str, rows: int = 10) -> DataFrame:
@@ -75,37 +53,3 @@ def slot_counts(df: DataFrame, slots: Column, keep: list[str], most: int = 255)
 
 def vectors(df: DataFrame, features: str, name: str = "x") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.transform(features, lambda v: v.cast("double"))))
-
-
-def column_summary(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, sample variance) of each feature, in one pass."""
-    r = df.select(Summarizer.metrics("mean", "variance").summary(F.col(vector)).alias("s")).select("s.mean", "s.variance").first()
-    return r[0].toArray(), r[1].toArray()
-
-
-def components_for(model, share: float) -> int:
-    """The fewest components of a fitted PCA that explain more than ``share`` of what all of it explains."""
-    total = np.cumsum(model.explainedVariance.toArray())
-    return min(len(total), int(np.searchsorted(total / max(total[-1], 1e-300), share, "right")) + 1)
-
-
-def reducer(df: DataFrame, vector: str, share: float | None = None, output: str = "z") -> PipelineModel:
-    """Constants dropped; with a ``share``, also scaled, reduced to that share of variance, and scaled again."""
-    select = VarianceThresholdSelector(featuresCol=vector, outputCol="_v", varianceThreshold=0.0).fit(df)
-    width = len(select.selectedFeatures)
-    if share is None or width < 2:
-        select.setOutputCol(output)
-        return PipelineModel([select])
-    base = select.transform(df)
-    scale = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(base)
-    scaled = scale.transform(base)
-    whole = PCA(k=width, inputCol="_s", outputCol="_p").fit(scaled)
-    k = components_for(whole, share)
-    part = PCA(k=k, inputCol="_s", outputCol="_p").fit(scaled) if k < width else whole
-    last = StandardScaler(inputCol="_p", outputCol=output, withMean=True).fit(part.transform(scaled))
-    return PipelineModel([select, scale, part, last])
-
-
-def reducer_pipeline(vector: str, k: int, output: str = "z") -> Pipeline:
-    """Scaler, PCA of k components, scaler, unfitted."""
-    return Pipeline(stages=[StandardScaler(inputCol=vector, outputCol="_s", withMean=True), PCA(k=k, inputCol="_s", outputCol="_p"), StandardScaler(inputCol="_p", outputCol=output, withMean=True)])

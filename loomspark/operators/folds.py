@@ -18,11 +18,12 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int | str = 42) -> DataFram
     return seeded_rank(df, [], key, seed, name="_rn").withColumn("fold", (F.col("_rn") % k).cast("int")).drop("_rn")
 
 
-def holdout(df: DataFrame, key: str, label: str, share: float = 0.25, seed: int | str = 42) -> DataFrame:
-    """``df`` with held_out: of each label ``share`` of the rows, rounded half to even."""
-    sizes = df.groupBy(label).agg(F.bround(F.count("*") * F.lit(share), 0).alias("_size"))
-    ranked = seeded_rank(df, [label], key, seed, name="_rn")
-    return ranked.join(F.broadcast(sizes), label).withColumn("held_out", F.col("_rn") < F.col("_size")).select(*df.columns, "held_out")
+def holdout(df: DataFrame, key: str, label: str, share: float = 0.25, seed: int | str = 42, groups: list[str] | None = None) -> DataFrame:
+    """``df`` with held_out: of each label (within ``groups``, which are few) ``share`` of the rows, rounded half to even."""
+    by = [*(groups or []), label]
+    sizes = df.groupBy(*by).agg(F.bround(F.count("*") * F.lit(share), 0).alias("_size"))
+    ranked = seeded_rank(df, by, key, seed, name="_rn")
+    return ranked.join(F.broadcast(sizes), by).withColumn("held_out", F.col("_rn") < F.col("_size")).select(*df.columns, "held_out")
 
 
 def oversampled(df: DataFrame, key: str, label: str, share: float = 0.25, most: float = 0.5, seed: int | str = 42, n_splits: int = 5) -> DataFrame:

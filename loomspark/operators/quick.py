@@ -2,7 +2,8 @@
 
 One scan gives sums of the feature vectors by group, fold and label; the sums of a training part are those of the other
 folds. A model is one row for each group and fold; rows meet their model and are scored row by row, without a row for each
-cell. Scores are rounded to 8 places before ranking so that the order of summation cannot break a tie.
+cell. Features are taken about their overall mean, so that large means cost no digits. Scores are rounded to 8 places before
+ranking so that the order of summation cannot break a tie; a row that gets no score (a null or not finite feature) raises.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.features import is_integer_matrix
 from loomspark.operators.folds import stratified_folds
+from loomspark.operators.gram import centre
 from loomspark.operators.metrics import auroc
 
 
@@ -38,16 +40,19 @@ def fold_scores(df: DataFrame, key: str, label: str, features: str, *, kind: str
     groups = groups or []
     if kind == "auto":
         kind = "bernoulli" if is_integer_matrix(df, key, features).first()["integral"] else "gaussian"
-    value = lambda v: (v > 0).cast("double") if kind == "bernoulli" else v.cast("double")
-    placed = stratified_folds(df.select(*groups, key, label, features), key, label, k, seed, groups).withColumn("_x", F.transform(features, value)).drop(features)
+    if kind == "bernoulli":
+        x = F.transform(features, lambda v: (v > 0).cast("double"))
+    else:
+        x = F.zip_with(features, F.lit(centre(df, features).tolist()), lambda v, c: v.cast("double") - c)
+    placed = stratified_folds(df.select(*groups, key, label, features), key, label, k, seed, groups).withColumn("_x", x).drop(features)
     t = _training(placed, label, groups)
     of = lambda c: F.max(F.when(F.col(label) == c, F.struct("n", "s", "q")))
     wide = t.groupBy(*groups, "fold").agg(of(0).alias("a"), of(1).alias("b"))
     if kind == "gaussian":
         n = F.col("a.n") + F.col("b.n")
-        spread = lambda s, q, n: q / n - (s / n) * (s / n)
+        spread = lambda s, q, n: F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
         whole = _pairwise(lambda s0, s1, q0, q1: spread(s0 + s1, q0 + q1, n), F.col("a.s"), F.col("b.s"), F.col("a.q"), F.col("b.q"))
-        wide = wide.withColumn("_eps", 1e-9 * F.array_max(whole))
+        wide = wide.withColumn("_eps", F.greatest(1e-9 * F.array_max(whole), F.lit(1e-300)))  # where all features are constant
         fit = lambda c: _pairwise(lambda s, q: F.struct((s / F.col(f"{c}.n")).alias("m"), (spread(s, q, F.col(f"{c}.n")) + F.col("_eps")).alias("w")), F.col(f"{c}.s"), F.col(f"{c}.q"))
         term = lambda v, p: -0.5 * F.log(2 * F.lit(3.141592653589793) * p["w"]) - (v - p["m"]) * (v - p["m"]) / (2 * p["w"])
     else:
@@ -57,7 +62,9 @@ def fold_scores(df: DataFrame, key: str, label: str, features: str, *, kind: str
     joined = placed.join(model, [*groups, "fold"])  # a row for each group and fold
     terms = _pairwise(lambda v, a, b: term(v, b) - term(v, a), F.col("_x"), F.col("_a"), F.col("_b"))
     total = F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
-    return joined.select(*groups, key, "fold", label, F.round(total + F.col("_prior"), 8).alias("score"))
+    score = F.round(total + F.col("_prior"), 8)
+    sound = score.isNotNull() & ~F.isnan(score)
+    return joined.select(*groups, key, "fold", label, F.when(sound, score).otherwise(F.raise_error(F.lit("a row has no score: are its features null or not finite?"))).alias("score"))
 
 
 def quick_auroc(df: DataFrame, key: str, label: str, features: str, *, groups: list[str] | None = None, **options) -> DataFrame:

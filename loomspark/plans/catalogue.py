@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars as S
 from loomspark.models import benchmark as B
-from loomspark.models.base import Options, forest, logistic, platt, positive
-from loomspark.models.ensemble import BinaryClassifier
+from loomspark.models import forest as T
+from loomspark.models import linear as L
+from loomspark.models.base import forest_rows
+from loomspark.models.ensemble import BinaryClassifier, mean_score
+from loomspark.models.ridge import fit_ridge
 from loomspark.operators import features as X
 from loomspark.operators import folds as K
+from loomspark.operators import gram as G
 from loomspark.operators import metrics as M
 from loomspark.operators import quick as Q
 from loomspark.operators import sampling as P
@@ -349,14 +352,15 @@ def q_standardize(s: SparkSession, d: str) -> DataFrame:
     return X.standardised(table(s, d, "embeddings"), "vec_id", "embedding").select("vec_id", "j", (F.round("z", 5) + F.lit(0.0)).alias("z"))
 
 
-@query("SELECT i, j, round(covar_pop(x, y), 8) + 0.0 AS cov FROM (SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CAST(embedding[a.i + 1] AS DOUBLE) AS x, CAST(embedding[b.i + 1] AS DOUBLE) AS y FROM embeddings, range(8) AS a(i), range(8) AS b(i) WHERE a.i <= b.i) GROUP BY ALL")
+@query("WITH l AS (SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT CAST(label AS BIGINT) AS label, i, j, round(covar_pop(x, y), 8) + 0.0 AS cov FROM (SELECT a.label AS label, a.j AS i, b.j AS j, a.v AS x, b.v AS y FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.j <= b.j) GROUP BY ALL")
 def q_covariance(s: SparkSession, d: str) -> DataFrame:
-    return X.covariance(table(s, d, "embeddings"), "vec_id", "embedding", 8).select("i", "j", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
+    """Covariances within each label, over the whole width."""
+    return G.covariances(table(s, d, "embeddings"), "embedding", ["label"]).select("label", "i", "j", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
 
 
 @query(f"WITH {_LONG} SELECT i, j, round(covar_pop(x, y), 8) + 0.0 AS cov FROM (SELECT a.j AS i, b.j AS j, a.v AS x, b.v AS y FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.j <= b.j) GROUP BY ALL")
 def q_covariance_full(s: SparkSession, d: str) -> DataFrame:
-    return X.covariances(table(s, d, "embeddings"), "vec_id", "embedding").select("i", "j", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
+    return G.covariances(table(s, d, "embeddings"), "embedding").select("i", "j", (F.round("cov", 8) + F.lit(0.0)).alias("cov"))
 
 
 @query("SELECT bool_and(list_bool_and(list_transform(embedding, lambda v: v = floor(v)))) AS integral FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 10)")
@@ -372,9 +376,44 @@ def q_balanced_weights(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_pca_k(s: SparkSession, d: str) -> DataFrame:
-    rows = X.vectors(table(s, d, "embeddings"), "embedding")
-    made = [(share, len(X.reducer(rows, "x", share).stages[2].explainedVariance)) for share in (0.8, 0.9, 0.99)]
-    return s.createDataFrame(made, "share double, k int")
+    space = _space(s, d)[1]
+    return s.createDataFrame([(share, space.width(share)) for share in (0.8, 0.9, 0.99)], "share double, k int")
+
+
+def _space(s: SparkSession, d: str) -> tuple[G.Space, G.Space]:
+    rows = table(s, d, "embeddings").select("embedding")
+    about = G.centre(rows, "embedding")
+    sums = G.grams(rows, [], "embedding", about).collect()  # a row for each feature
+    return G.spaces(G.Gram.of([r["i"] for r in sums], [r["v"] for r in sums]), about)
+
+
+@query(f"""
+WITH {_LONG}, c AS (SELECT a.j AS i, b.j AS j, corr(a.v, b.v) AS r FROM l a JOIN l b USING (vec_id) GROUP BY ALL)
+SELECT round(sum(CASE WHEN i = j THEN r END), 6) AS trace, round(sum(r * r), 6) AS squares FROM c
+""")
+def q_pca_spectrum(s: SparkSession, d: str) -> DataFrame:
+    """Sums of the components' variances and of their squares: trace and squared norm of the correlations."""
+    plain, space = _space(s, d)
+    size = len(plain.basis)
+    variances = [size * (b - a) for a, b in zip([0.0, *space.shares[:-1]], space.shares, strict=True)]
+    return s.createDataFrame([(round(float(sum(variances)), 6), round(float(sum(v * v for v in variances)), 6))], "trace double, squares double")
+
+
+@query(f"WITH {EMB.format(5)}, {_LONG}, m AS (SELECT j, avg(v) AS m, stddev_pop(v) AS sd FROM l GROUP BY j) SELECT l.vec_id, round(sum((v - m) / sd * ((v - m) / sd)), 4) AS length FROM l JOIN m USING (j) GROUP BY ALL")
+def q_scaled_length(s: SparkSession, d: str) -> DataFrame:
+    """Squared length of each scaled row, from its components: a rotation keeps it."""
+    space = _space(s, d)[1]
+    size = len(space.about)
+    variances = [float(size * (b - a)) for a, b in zip([0.0, *space.shares[:-1]], space.shares, strict=True)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            z = space.apply(G.doubles(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((z * z * variances).sum(1).round(4))], ["vec_id", "length"])
+
+    return table(s, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, length double")
 
 
 # ---- metrics
@@ -492,31 +531,89 @@ def q_r2_mae_spearman(s: SparkSession, d: str) -> DataFrame:
     return r.select(F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"), F.round("spearman", 6).alias("spearman"))
 
 
-# ---- fitted models: rows only, SQL cannot fit them
+# ---- fitted models
+
 
+def _pool(s: SparkSession, d: str, splits: list[tuple], below: int = 5) -> L.Pool:
+    rows = emb(s, d, below)
+    return L.pool(rows, rows.select(F.lit(0).alias("partition_id"), "vec_id", "y"), "vec_id", "y", "embedding", splits)
 
-def _reduced(s: SparkSession, d: str) -> DataFrame:
-    rows = X.vectors(emb(s, d), "embedding").select("vec_id", "y", "x")
-    return X.reducer(rows, "x", None).transform(rows).select("vec_id", "y", "z")
+
+def _fitted(s: SparkSession, d: str, c: float = 1.0) -> L.Linear:
+    p = _pool(s, d, [(4, 42)])
+    L.find_spaces(p, [0], [0])
+    key = ("plain", 0, 0, L.ALL)
+    b = L.solve(p, [L.Problem(0, L.ALL, L.ALL, c, key, p.spaces[key].width())])[0]
+    p.rows.unpersist()
+    return L.Linear(*p.spaces[key].back(b[1:], float(b[0])), {})
 
 
 @query()
 def q_logreg_scores(s: SparkSession, d: str) -> DataFrame:
-    rows = _reduced(s, d)
-    return positive(logistic(rows, "z", "y", 1.0), rows).select("vec_id", "y", F.round("p1", 6).alias("p1"))
+    return emb(s, d).withColumn("p1", F.round(mean_score([_fitted(s, d)], "embedding"), 6)).select("vec_id", "y", "p1")
+
+
+@query("SELECT CAST(i AS INTEGER) AS j, 0.0::DOUBLE AS gradient FROM range((SELECT max(len(embedding)) + 1 FROM embeddings)) AS r(i)")
+def q_logreg_optimum(s: SparkSession, d: str) -> DataFrame:
+    """Gradient of the balanced loss plus penalty at the fitted coefficients, for the intercept (0) and each feature: the
+    objective is convex, so it is fitted exactly where all are 0."""
+    model, rows = _fitted(s, d), emb(s, d)
+    weights = F.broadcast(X.balanced_weights(rows, "y").select("y", "weight"))  # two rows
+    scored = rows.join(weights, "y").withColumn("r", F.col("weight") * (mean_score([model], "embedding") - F.col("y")))
+    each = scored.select(F.posexplode(F.concat(F.array(F.lit(1.0)), F.transform("embedding", lambda v: v.cast("double")))).alias("j", "v"), "r")
+    beta = F.element_at(F.array(F.lit(0.0), *[F.lit(float(w)) for w in model.weights]), F.col("j") + 1)
+    return each.groupBy("j").agg(F.sum(F.col("v") * F.col("r")).alias("g")).select("j", (F.round(F.col("g") + beta, 5) + F.lit(0.0)).alias("gradient"))
 
 
 @query()
 def q_forest_scores(s: SparkSession, d: str) -> DataFrame:
-    rows = _reduced(s, d)
-    return positive(forest(rows, "z", "y", Options(max_depth=8)), rows).select("vec_id", "y", F.round("p1", 6).alias("p1"))
+    p = _pool(s, d, [(4, 42)])
+    b = forest_rows(p, {0: None})
+    trees = T.grow(b, [T.Grow(0, L.ALL, L.ALL, depth=8)])[0]
+    b.rows.unpersist()
+    p.rows.unpersist()
+    model = T.Forest(b.space[0], b.width[0], b.edges[0], trees, 1.0, 0.0, {})
+    return emb(s, d).withColumn("p1", F.round(mean_score([Raw(model)], "embedding"), 6)).select("vec_id", "y", "p1")
 
 
-@query()
+class Raw:
+    """A forest whose score is not calibrated."""
+
+    def __init__(self, model: T.Forest) -> None:
+        self.score = model.raw
+
+
+#: One tree over one feature and all rows, two leaves: the split that lowers the impurity most, by SQL over all values.
+@query(f"""
+WITH {EMB.format(5)}, v AS (SELECT y, round(CAST(embedding[1] AS DOUBLE), 1) AS x FROM e), b AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, count(*) AS n FROM v),
+w AS (SELECT x, sum(1 - y) AS c0, sum(y) AS c1 FROM v GROUP BY x), u AS (SELECT x, sum(c0) OVER (ORDER BY x) AS l0, sum(c1) OVER (ORDER BY x) AS l1, lead(x) OVER (ORDER BY x) AS nx FROM w),
+g AS (SELECT *, l0 * n / (2 * n0) AS a0, l1 * n / (2 * n1) AS a1, n / 2 AS h FROM u, b WHERE nx IS NOT NULL),
+k AS (SELECT *, (a0 * a0 + a1 * a1) / (a0 + a1) + ((h - a0) * (h - a0) + (h - a1) * (h - a1)) / (2 * h - a0 - a1) AS gain FROM g)
+SELECT round((x + nx) / 2, 6) AS threshold, CAST(l0 AS BIGINT) AS n0, CAST(l1 AS BIGINT) AS n1, round(gain - h, 6) AS gain FROM k ORDER BY round(gain, 9) DESC, x LIMIT 1
+""")
+def q_best_split(s: SparkSession, d: str) -> DataFrame:
+    rows = emb(s, d).select("vec_id", "y", F.array(F.round(F.element_at("embedding", 1).cast("double"), 1)).alias("x"))
+    p = L.pool(rows, rows.select(F.lit(0).alias("partition_id"), "vec_id", "y"), "vec_id", "y", "x", [(4, 42)])
+    b = forest_rows(p, {0: None})
+    gain, _, at, left, _ = T.best_split(b, T.Grow(0, L.ALL, L.ALL))
+    b.rows.unpersist()
+    p.rows.unpersist()
+    return s.createDataFrame([(round(float(b.edges[0][0][at]), 6), left[0], left[1], round(gain, 6))], "threshold double, n0 long, n1 long, gain double")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(label < 5 AS INTEGER) AS y, 1 / (1 + exp(-4 * CAST(embedding[1] AS DOUBLE))) AS p FROM embeddings),
+n AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+      UNION ALL
+      SELECT i + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT i, a, b, sum(q - y) AS g0, sum((q - y) * p) + b AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * p) AS h01, sum(q * (1 - q) * p * p) + 1 AS h11
+            FROM (SELECT i, a, b, y, p, 1 / (1 + exp(-(a + b * p))) AS q FROM n, e WHERE i < 12) GROUP BY i, a, b))
+SELECT vec_id, round(p, 8) AS p, round(1 / (1 + exp(-(a + b * p))), 6) AS p1 FROM e, (SELECT a, b FROM n WHERE i = 12)
+""")
 def q_platt(s: SparkSession, d: str) -> DataFrame:
     raw = emb(s, d).select("vec_id", "y", S.logistic(4 * F.element_at("embedding", 1).cast("double")).alias("p"))
-    calibrated = platt(raw, "p", "y").transform(raw)
-    return calibrated.select("vec_id", "p", F.round(F.element_at(vector_to_array("_calibrated"), 2), 6).alias("p1"))
+    slope, intercept, _ = L.calibrations(raw.select(F.lit(0).alias("j"), "y", F.col("p").alias("p1")), [1.0])[0]
+    return raw.select("vec_id", F.round("p", 8).alias("p"), F.round(S.logistic(F.lit(intercept) + F.lit(slope) * F.col("p")), 6).alias("p1"))
 
 
 @query()
@@ -525,3 +622,19 @@ def q_ensemble_scores(s: SparkSession, d: str) -> DataFrame:
     model = BinaryClassifier("random_forest", "quick", key="vec_id", features="embedding", pca=False, max_depth=8).fit(rows)
     # not rounded: the quick preset calibrates in sample with a strong penalty, so probabilities lie close together
     return model.predict(rows).select("vec_id", "y", "p1", "prediction")
+
+
+_RIDGE = "e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) + 3 * CAST(embedding[1] AS DOUBLE) AS y FROM embeddings)"
+
+
+@query(f"""
+WITH {_RIDGE}, m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS v, covar_pop(x, y) AS c, count(*) AS n FROM e), g AS (SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0])::DOUBLE AS penalty),
+r AS (SELECT penalty, (y - my - (x - mx) * c / (v * (1 + penalty))) / (1 - 1 / n - (x - mx) ** 2 / (v * (1 + penalty)) / n) AS loo FROM e, m, g)
+SELECT penalty, round(avg(loo * loo), 8) AS mse FROM r GROUP BY penalty
+""")
+def q_ridge_loo(s: SparkSession, d: str) -> DataFrame:
+    """Leave-one-out mean squared error of each penalty, of a ridge regression on one feature."""
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    rows = table(s, d, "embeddings").select(F.array(at(1)).alias("x"), (at(2) + 3 * at(1)).alias("t"))
+    found = fit_ridge(rows, "x", "t")[0].recorded["loo_mse"]
+    return s.createDataFrame([(float(a), round(e, 8)) for a, e in found.items()], "penalty double, mse double")

@@ -49,6 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds nothing."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def present(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that exist."""
     return [p for p in paths if exists(spark, p)]

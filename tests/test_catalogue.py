@@ -15,7 +15,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["q_quota_table", "q_gnb_cv_auroc", "q_bnb_cv_auroc", "q_second_draw", "q_jaccard_pairs", "q_roc_points", "q_chunks", "q_candidates", "q_candidate_scores", "q_majority_vote", "q_count_fingerprint", "q_task_table_outer", "q_min_rounds", "q_min_seen"])
+@pytest.mark.parametrize("name", ["q_quota_table", "q_gnb_cv_auroc", "q_bnb_cv_auroc", "q_second_draw", "q_jaccard_pairs", "q_roc_points", "q_chunks", "q_candidates", "q_candidate_scores", "q_majority_vote", "q_count_fingerprint", "q_task_table_outer", "q_min_rounds", "q_min_seen", "q_covariance", "q_pca_spectrum", "q_scaled_length", "q_logreg_optimum", "q_best_split", "q_platt", "q_ridge_loo", "q_moments", "q_standardize"])
 def test_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, FOLDER)
     want = duck.sql(SQL[name])

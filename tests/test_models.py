@@ -2,13 +2,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.models.base import Options, best_c, fit_base, logistic, pca_shares, search, weighted, with_vector
+from loomspark.models import base, forest, linear
+from loomspark.models.base import Options, fit_forests, forest_rows, forest_space, logistic, weighted, with_vector
 from loomspark.models.benchmark import against_leaderboard, scores
 from loomspark.models.descriptors import circular, descriptor, molecule
 from loomspark.models.ensemble import BinaryClassifier, Regressor
-from loomspark.operators.features import is_integer_matrix, reducer
+from loomspark.models.ridge import fit_ridge
+from loomspark.models.search import Range, Search
+from loomspark.operators.features import is_integer_matrix
+from loomspark.operators.gram import Gram, centre, covariances, grams, spaces
 from loomspark.operators.metrics import auroc
-from loomspark.operators.quick import quick_auroc, quick_score
+from loomspark.operators.quick import fold_scores, quick_auroc, quick_score
 from loomspark.sources.tables import check_input, labelled_csv, write_predictions
 from loomspark.streaming.score import score_stream
 
@@ -31,44 +35,214 @@ def test_logistic_is_at_its_optimum(spark):
     assert np.abs(gradient).max() < 1e-2 and abs((w * (p - y)).sum()) < 1e-2
 
 
-def test_reducer_drops_constants_and_keeps_variance(spark):
-    df = with_vector(table(spark), "features")
-    assert len(reducer(df, "x").transform(df).first()["z"]) == 5
-    assert len(reducer(df, "x", 0.5).transform(df).first()["z"]) < 5
+def pooled(df, splits, parts=None):
+    parts = df.select(F.lit(0).alias("partition_id"), "row_id", "y") if parts is None else parts
+    return linear.pool(df, parts, "row_id", "y", "features", splits)
+
+
+def test_batched_fits_equal_sparks_own(spark):
+    df = table(spark, 240)
+    parts = spark.range(3).select(F.col("id").cast("int").alias("partition_id")).crossJoin(df.select("row_id", "y")).filter("(row_id + partition_id) % 4 > 0")
+    p = pooled(df, [(3, 7)], parts)
+    linear.find_spaces(p, p.parts, [0])
+    made = [linear.Problem(part, 0, f, c, ("plain", part, 0, linear.ALL), 5) for part in p.parts for f in (linear.ALL, 0, 2) for c in (0.01, 1.0, 1000.0)]
+    got = linear.solve(p, made)
+    folds = linear.stratified_folds(parts, "row_id", "y", 3, 7, ["partition_id"]).join(with_vector(df, "features").select("row_id", "x"), "row_id").persist()
+    for q, b in list(zip(made, got, strict=True))[::5]:
+        rows = folds.filter((F.col("partition_id") == q.part) & (F.col("fold") != q.left))
+        m = logistic(rows, "x", "y", q.c)
+        w, intercept = p.spaces[q.space].back(b[1:], float(b[0]))
+        assert np.abs(m.coefficients.toArray() - w).max() < 1e-6 * (1 + np.abs(w).max()) and abs(m.intercept - intercept) < 1e-5 * (1 + abs(intercept))
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    df = table(spark, 200)
+
+    def jobs(n):
+        parts = spark.range(n).select(F.col("id").cast("int").alias("partition_id")).crossJoin(df.select("row_id", "y")).filter("(row_id + partition_id) % 3 > 0")
+        p = pooled(df, [(4, 42)], parts)
+        spark.sparkContext.setJobGroup(f"fit-{n}", "")
+        linear.fit_all(p, dict.fromkeys(range(n)), [0.01, 1.0])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{n}"))
+
+    one, five = jobs(1), jobs(5)
+    assert one > 0 and five <= one + 12  # a problem that needs a step or two more; each is a few jobs
+
+
+def test_spaces_drop_constants_and_keep_variance(spark):
+    df = table(spark)
+    about = centre(df, "features")
+    rows = grams(df, [], "features", about).collect()
+    g = Gram.of([r["i"] for r in rows], [r["v"] for r in rows])
+    plain, components = spaces(g, about)
+    assert plain.width() == 5 and components.width(0.5) < 5 and components.width(0.9999) == 5
+    x = np.array([r.features for r in df.collect()])
+    z = components.apply(x)
+    assert np.abs(np.cov(z.T, bias=True) - np.eye(5)).max() < 1e-9 and np.abs(z.mean(0)).max() < 1e-9
+    w, b = components.back(np.arange(1.0, 4), 0.5)
+    assert np.abs(x @ w + b - (z[:, :3] @ np.arange(1.0, 4) + 0.5)).max() < 1e-9
+
+
+def test_sums_keep_digits_beside_large_means(spark):
+    df = table(spark).withColumn("features", F.transform("features", lambda v: v + 1e8))
+    x = np.array([r.features for r in df.collect()]) - 1e8
+    got = {(r.i, r.j): r.cov for r in covariances(df.repartition(5), "features").collect()}
+    want = np.cov(x.T, bias=True)
+    assert max(abs(got[i, j] - want[i, j]) for i, j in got) < 1e-6 and len(got) == 21
+
+
+def test_quick_scores_keep_all_rows_beside_large_means(spark):
+    df = table(spark, 400)
+    far = df.withColumn("features", F.transform("features", lambda v: v + 1e8))
+    near = {r.fold: r.auroc for r in quick_auroc(df, "row_id", "y", "features").collect()}
+    moved = {r.fold: r.auroc for r in quick_auroc(far, "row_id", "y", "features").collect()}
+    assert len(moved) == 5 and fold_scores(far, "row_id", "y", "features").filter("score IS NOT NULL").count() == 400
+    assert max(abs(near[f] - moved[f]) for f in near) < 1e-3
+    with pytest.raises(Exception, match="no score"):
+        quick_auroc(df.withColumn("features", F.when(F.col("row_id") == 3, F.array(*[F.lit(float("nan"))] * 6)).otherwise(F.col("features"))), "row_id", "y", "features").collect()
+    same = df.withColumn("features", F.array(F.lit(1.0), F.lit(2.0)))
+    assert {r.auroc for r in quick_auroc(same, "row_id", "y", "features").collect()} == {0.5}
 
 
 def test_search_starts_with_the_default_and_ends_early():
-    seen = []
-    got = search(pca_shares(), lambda p: seen.append(p["share"]) or 0.5, 20)
-    assert got == {"share": 0.99} and seen[0] == 0.99 and len(seen) <= 6
-    assert len(pca_shares()) == 20
+    s, seen = Search({"share": Range(0.8, 0.99)}, {"share": 0.99}, 20), []
+    while not s.over:
+        x = s.ask()
+        seen.append(x["share"])
+        s.tell(x, 0.5)
+    assert s.best == {"share": 0.99} and seen[0] == 0.99 and len(seen) <= 6 and all(0.8 <= x <= 0.99 for x in seen)
 
 
 def test_slow_steady_gains_go_on():
-    steps = iter(range(100))
-    got = []
-    search([{"i": i} for i in range(40)], lambda p: got.append(0.5 + 0.004 * next(steps)) or got[-1], 40)
-    assert len(got) == 40  # each gains 0.004 over the one before, and 0.01 over the mark every third time
+    s = Search({"i": Range(0, 100)}, {"i": 0}, 40)
+    while not s.over:
+        s.tell(s.ask(), 0.5 + 0.004 * len(s.seen))
+    assert len(s.seen) == 40  # each gains 0.004 over the one before, and 0.01 over the mark every third time
 
 
-def test_reduction_is_voted_on(spark, monkeypatch):
-    from loomspark.models import ensemble
+def test_guided_search_beats_random_trials():
+    space = {"a": Range(0, 1), "b": Range(16, 1024, whole=True, log=True), "c": Range(10, 200, whole=True)}
+    value = lambda x: -((x["a"] - 0.7) ** 2) - (np.log2(x["b"] / 64) / 6) ** 2 - ((x["c"] - 150) / 190) ** 2
+    first = {"a": 0.2, "b": 500, "c": 20}
+
+    def run(startup, seed):
+        s = Search(space, first, 40, seed, gain=-1e9, startup=startup)
+        while not s.over:
+            x = s.ask()
+            s.tell(x, value(x))
+        assert all(16 <= x["b"] <= 1024 and isinstance(x["c"], int) for _, x in s.seen)
+        return value(s.best)
+
+    guided, blind = ([run(n, seed) for seed in range(20)] for n in (4, 1000))
+    assert np.mean(guided) > np.mean(blind) and sum(g > b for g, b in zip(guided, blind, strict=True)) >= 13
 
-    asked = []
 
-    class Fitted:
-        def __init__(self, pca):
-            self.recorded = {"pca": 0.9 if pca else None}
+def test_forest_space_has_log_spaced_leaves():
+    space, first = forest_space(Options(trees=150, leaves=64, max_features=0.3), 50, 400)
+    assert first == {"trees": 150, "max_features": 0.3, "leaves": 64}
+    assert (space["trees"].low, space["trees"].high) == (50, 250) and space["leaves"].log and (space["leaves"].low, space["leaves"].high) == (32, 300)
+    assert space["leaves"].at(0.5) == round((32 * 300) ** 0.5) and set(forest_space(Options(), 50, 400)[0]) == {"trees"}
 
-    def fit(df, key, label, options):
-        asked.append(options.pca)
-        return Fitted(True if options.pca is None else options.pca)
 
-    monkeypatch.setattr(ensemble, "fit_base", fit)
+def test_reduction_is_voted_on(spark, monkeypatch):
+    asked = []
+
+    def helps(p, parts, *_):
+        asked.append(list(parts))
+        return {part: part != 2 for part in parts}
+
+    monkeypatch.setattr(base, "reduction_helps", helps)
     n = 700
     df = spark.createDataFrame([(i, int(i % 10 == 0), [float(i % 7), float(i % 3), 0.5]) for i in range(n)], "row_id long, y int, features array<double>")
-    m = BinaryClassifier("random_forest", "default", max_samples=100, min_seen=1, parallelism=1).fit(df)
-    assert len(m.models) > 5 and asked[:4] == [None] * 4 and set(asked[4:]) == {True} and m.seconds > 0
+    m = BinaryClassifier("logistic_regression", "default", max_samples=100, min_seen=1, num_trials=0).fit(df)
+    assert len(m.models) > 5 and asked == [[0, 1, 2, 3]] and m.seconds > 0
+    assert [x.recorded["pca"] for x in m.models] == [0.9, 0.9, None, *[0.9] * (len(m.models) - 3)]
+
+
+def grown(p, **settings):
+    d = forest_rows(p, dict.fromkeys(p.parts))
+    trees = forest.grow(d, [forest.Grow(0, linear.ALL, linear.ALL, **settings)])[0]
+    return d, trees
+
+
+def test_trees_have_exactly_their_leaves_and_do_not_depend_on_layout(spark):
+    df = table(spark, 300)
+    before = None
+    for n in (1, 3, 7):
+        _, trees = grown(pooled(df.repartition(n), [(3, 1)]), trees=5, leaves=9)
+        assert all((t[0] == -1).sum() == 9 for t in trees)
+        now = [[v.tolist() for v in t] for t in trees]
+        assert before is None or before == now
+        before = now
+    _, whole = grown(pooled(df, [(3, 1)]), trees=3)
+    assert all(set(t[3][t[0] == -1]) <= {0.0, 1.0} for t in whole)  # without a bound leaves are pure
+    _, shallow = grown(pooled(df, [(3, 1)]), trees=3, depth=2)
+    assert all((t[0] == -1).sum() <= 4 for t in shallow)
+
+
+def brute_tree(bins, y, leaves):
+    """(feature, bin) of the splits of one tree over all rows, best first."""
+    scale = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
+    mass = lambda rows: np.array([(y[rows] == c).sum() for c in (0, 1)]) * scale
+    purity = lambda w: (w**2).sum() / w.sum()
+
+    def best(rows):
+        found = None
+        for f in range(bins.shape[1]):
+            for b in np.unique(bins[rows, f])[:-1]:
+                left, right = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+                gain = purity(mass(left)) + purity(mass(right)) - purity(mass(rows))
+                if found is None or gain > found[0] + 1e-12:
+                    found = (gain, f, int(b), left, right)
+        return found
+
+    open_, out = [best(np.arange(len(y)))], []
+    while open_ and len(out) < leaves - 1:
+        at = max(range(len(open_)), key=lambda i: open_[i][0])
+        gain, f, b, left, right = open_.pop(at)
+        out.append((f, b))
+        open_ += [found for side in (left, right) if 0 < y[side].sum() < len(side) and (found := best(side))]
+    return sorted(out)
+
+
+def test_a_tree_grows_best_first(spark):
+    df = table(spark, 80, 5)
+    p = pooled(df, [(3, 1)])
+    d, trees = grown(p, trees=1, leaves=7, max_features=1.0, seed=forest.EVERY_ROW)
+    rows = d.rows.collect()
+    bins, y = np.array([list(r.bins) for r in rows]), np.array([r.y for r in rows])
+    feature, cut, _, value = trees[0]
+    assert sorted(zip(feature[feature >= 0].tolist(), cut[feature >= 0].tolist(), strict=True)) == brute_tree(bins, y, 7)
+    assert auroc(forest.held_scores(d, [forest.Grow(0, linear.ALL, linear.ALL)], [trees]), "p1", "y").first()["auroc"] > 0.9
+
+
+def test_ridge_takes_the_penalty_of_least_left_out_error(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 8)) * [1, 5, 1, 1, 0.1, 1, 1, 0] + 3
+    y = x @ rng.normal(size=8) + rng.normal(size=40) * 3
+    df = spark.createDataFrame([(x[i].tolist(), float(y[i])) for i in range(40)], "features array<double>, y double")
+    found = [fit_ridge(df.repartition(n), "features", "y")[0] for n in (1, 3, 7)]
+    for f in found[1:]:
+        assert np.abs(f.weights - found[0].weights).max() < 1e-9 and f.recorded["penalty"] == found[0].recorded["penalty"]
+    scale = x[:, :7].std(0)
+
+    def fit(rows, penalty):
+        z = x[rows][:, :7]
+        u, t = (z - z.mean(0)) / scale, y[rows] - y[rows].mean()
+        w = np.linalg.solve(u.T @ u + penalty * 40 * np.eye(7), u.T @ t) / scale
+        return w, y[rows].mean() - z.mean(0) @ w
+
+    for penalty, got in found[0].recorded["loo_mse"].items():
+        errors = []
+        for i in range(40):
+            rows = np.arange(40) != i
+            # the same scale as with all rows, and the same weight of the penalty
+            w, b = fit(rows, float(penalty))
+            errors.append((y[i] - x[i, :7] @ w - b) ** 2)
+        assert abs(np.mean(errors) - got) < 1e-8 * np.mean(errors)
+    w, b = fit(np.arange(40) >= 0, found[0].recorded["penalty"])
+    assert np.abs(found[0].weights[:7] - w).max() < 1e-9 and abs(found[0].intercept - b) < 1e-8
 
 
 def test_quick_score_picks_the_model_by_the_matrix(spark):
@@ -99,17 +273,47 @@ def test_ensemble_round_trip_and_stream(spark, tmp_path):
     assert {r.row_id: r.p1 for r in spark.table("scored").collect()} == a
 
 
-def test_forest_is_calibrated_and_monotone(spark):
-    df = with_vector(table(spark), "features").select("row_id", "y", "x")
-    base = fit_base(df, "row_id", "y", Options(num_trials=0, num_splits=1, pca=False, trees=10, max_depth=4, shape="random_forest"))
-    p = [r.p for r in base.transform(df, "p").collect()]
-    assert len(p) == 160 and all(0 <= x <= 1 for x in p)
+def test_forests_are_calibrated_and_found_by_trials(spark):
+    df = table(spark)
+    o = Options(num_trials=2, num_splits=2, pca=False, trees=12, leaves=8, max_features=0.5, shape="random_forest")
+    m = fit_forests(pooled(df, base.splits(o)), o)[0]
+    x = np.array([r.features for r in df.collect()])
+    p, raw = m.score(x), m.raw(x)
+    assert ((0 <= p) & (p <= 1)).all() and m.slope > 0 and (np.diff(p[np.argsort(raw)]) >= 0).all()
+    assert len(m.recorded["held_out"]) == 2 and min(m.recorded["held_out"]) > 0.7 and m.recorded["trials"] == 2 and m.recorded["c"] in base.C_GRID
+    reduced = fit_forests(pooled(df, base.splits(o)), Options(num_trials=0, num_splits=1, pca=True, trees=5, max_depth=4, shape="random_forest"))[0]
+    assert reduced.recorded["pca"] == 0.9 and reduced.recorded["c"] == 1.0 and reduced.space.basis.ndim == 2
+
+
+def test_forest_round_trip(spark, tmp_path):
+    df = table(spark)
+    m = BinaryClassifier("random_forest", "quick", pca=False, trees=8).fit(df)
+    m.save(spark, str(tmp_path / "m"))
+    again = BinaryClassifier.load(spark, str(tmp_path / "m"))
+    a, b = ({r.row_id: r.p1 for r in x.predict_proba(df).collect()} for x in (m, again))
+    assert a == b and auroc(m.predict(df), "p1", "y").first()["auroc"] > 0.9
+    m.save(spark, str(tmp_path / "m"))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(ValueError, match="something else"):
+        m.save(spark, str(tmp_path / "other"))
 
 
 def test_best_c_records_both_scores(spark):
-    df = with_vector(table(spark, 80), "features").select("row_id", "y", "x")
-    c, recorded = best_c(df, "row_id", "x", "y", 3, grid=[0.01, 1.0])
-    assert c in (0.01, 1.0) and recorded["mean_score_all_c"] <= recorded["best_c_score"] + 1e-9
+    p = pooled(table(spark, 80), [(3, 42)])
+    m = linear.fit_all(p, {0: None}, [0.01, 1.0])[0]
+    assert m.recorded["c"] in (0.01, 1.0) and m.recorded["mean_score_all_c"] <= m.recorded["best_c_score"] + 1e-9
+
+
+def test_reduction_and_share_are_found_together(spark):
+    df = table(spark, 200)
+    parts = spark.range(2).select(F.col("id").cast("int").alias("partition_id")).crossJoin(df.select("row_id", "y"))
+    o = Options(num_trials=4, pca=None)
+    p = pooled(df, base.splits(o), parts)
+    found = base.decide(p, o)
+    assert set(found) == {0, 1} and found[0] == found[1] and (found[0] is None or 0.8 <= found[0] <= 0.99)
+    with pytest.raises(ValueError, match="both classes"):
+        pooled(df, [(3, 1)], parts.filter("partition_id = 0 OR y = 1"))
 
 
 def test_regressor(spark, tmp_path):
