@@ -8,6 +8,9 @@ within a span of its kind and if the rewriting changed something inside it; base
 
 Defined results: a null text counts as empty; rows are judged one by one, repeated ones alike; an empty table gives
 an empty result; other columns pass through ``find`` and ``mask`` (``find``'s own column replaces a clashing one).
+
+A bare " at " counts only together with a " dot " in words: "joe at example.com" stays, as "meet at noon.sharp" must.
+All patterns take time linear in the text.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,10 +111,12 @@ def _cue(text: str) -> bool:
     return ("dot" in low and bool(_DOT.search(low))) or bool(_NUMBER.search(text))
 
 
-_SIGN = re.compile(r"\s*[(\[{<]\s*(at|dot)\s*[)\]}>]\s*", re.I)
+_SIGN = re.compile(r"[(\[{<]\s*+(at|dot)\s*+[)\]}>]\s*+", re.I)
 # "x at y dot z": bare words count only together
 _WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ +at +[A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)* +dot +[A-Za-z0-9-]+", re.I)
 _BARE = re.compile(r" +(at|dot) +", re.I)
+_LONE_DOT = re.compile(r"(?<=[0-9]) +dot +(?=[0-9])|(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9-]+$)", re.I)
+_AFTER_AT = re.compile(r"@[A-Za-z0-9.-]+((?: +dot +[A-Za-z0-9-]+)+)", re.I)
 _DIGIT_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SPELLING = re.compile(rf"(?<![A-Za-z0-9])(?:(?:double|triple)[ -]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[ ,-]+(?:(?:double|triple)[ -]+)?(?:{_DIGIT_WORD}|[0-9]+))+(?![A-Za-z0-9])", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ -]+(?=[0-9])", re.I)
@@ -175,13 +181,12 @@ def normalised(text: str) -> Tape:
     if not text.isascii():
         tape.rewrite([(i, i + 1, p) for i, c in enumerate(tape.text) if (p := _plain(c)) != c])
     # " dot " and "(at)" forms; a bare "at" or "dot" only within a whole disguised address
-    tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _SIGN.finditer(tape.text)])
+    tape.rewrite(_signs(tape.text))
     edits = []
     for whole in _WORDS.finditer(tape.text):
         edits += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BARE.finditer(tape.text, whole.start(), whole.end())]
-    edits += [(m.start(), m.end(), ".") for m in re.finditer(r"(?<=[0-9]) +dot +(?=[0-9])|(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9-]+$)", tape.text, re.I) if not any(a <= m.start() < b for a, b, _ in edits)]
-    after_at = re.compile(r"@[A-Za-z0-9.-]+((?: +dot +[A-Za-z0-9-]+)+)", re.I)
-    for whole in after_at.finditer(tape.text):
+    edits += [(m.start(), m.end(), ".") for m in _LONE_DOT.finditer(tape.text)]
+    for whole in _AFTER_AT.finditer(tape.text):
         edits += [(m.start(), m.end(), ".") for m in _BARE.finditer(tape.text, whole.start(1), whole.end(1)) if m[1].lower() == "dot"]
     tape.rewrite(_disjoint(edits))
     tape.rewrite([(m.start(), m.end(), _spelled(m.group())) for m in _SPELLING.finditer(tape.text) if re.search("[A-Za-z]", m.group())])
@@ -189,7 +194,19 @@ def normalised(text: str) -> Tape:
     return tape
 
 
+def _signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits of bracketed signs, each with the blanks around it; the pattern cannot look for those before it in linear time."""
+    out: list[tuple[int, int, str]] = []
+    for m in _SIGN.finditer(text):
+        start, least = m.start(), out[-1][1] if out else 0
+        while start > least and text[start - 1].isspace():
+            start -= 1
+        out.append((start, m.end(), "@" if m[1].lower() == "at" else "."))
+    return out
+
+
 def _disjoint(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits in order; of overlapping ones the first to start."""
     out: list[tuple[int, int, str]] = []
     for e in sorted(set(edits)):
         if not out or e[0] >= out[-1][1]:
@@ -208,14 +225,16 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     have: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     for k, a, b in base:
         have[k].append((a, b))
+    far = dict.fromkeys(KINDS, (0, 0))  # of a kind's added spans, which come in order, the one that ends last
     added = []
     for kind, a, b in base_spans(tape.text):
         s, e = int(tape.start[a]), int(tape.end[b - 1])
         if text[s:e] == tape.text[a:b]:
             continue
-        if any(x <= s and e <= y for x, y in have[kind]):
+        before = bisect_right(have[kind], (s, len(text) + 1)) - 1  # base spans of a kind are disjoint
+        if (before >= 0 and e <= have[kind][before][1]) or (far[kind][0] <= s and e <= far[kind][1]):
             continue
-        have[kind].append((s, e))
+        far[kind] = max(far[kind], (s, e), key=lambda x: x[1])
         added.append((kind, s, e))
     return base, added
 

@@ -137,9 +137,9 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``df.mapInArrow``, with the session's Arrow batches held to ``BATCH`` bytes: a task's memory then follows bytes, not rows."""
-    conf = df.sparkSession.conf
-    if int(str(conf.get(_BATCH_BYTES)).rstrip("b")) > BATCH:
-        conf.set(_BATCH_BYTES, BATCH)
+    spark = df.sparkSession
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(_BATCH_BYTES))) > BATCH:
+        spark.conf.set(_BATCH_BYTES, BATCH)  # read when the plan runs, so it stays
     return df.mapInArrow(run, schema)
 
 
