@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -17,6 +18,8 @@ from loomspark.models.base import Options, fit_forests, fit_linear, splits
 from loomspark.models.descriptors import descriptor
 from loomspark.models.forest import Forest
 from loomspark.models.linear import Linear, pool
+from loomspark.models.meta import meta_features, nearest, remember
+from loomspark.models.progress import Progress
 from loomspark.models.ridge import Ridge, fit_ridge
 from loomspark.operators.features import is_integer_matrix
 from loomspark.operators.folds import folds
@@ -110,7 +113,7 @@ class BinaryClassifier:
             raise ValueError(f"unsupported mode: {mode}")
         if model_type not in MODELS:
             raise ValueError(f"unsupported model: {model_type}")
-        self.settings = {"model_type": model_type, "mode": mode, "key": key, "features": features, "label": label, "min_positive_proportion": 0.01, "max_positive_proportion": 0.5, "min_samples": 30, "min_positive_samples": 10, "max_num_partitions": 100, "random_state": 42, "pca": None, "force": model_type == "logistic_regression"} | PRESETS[mode] | options
+        self.settings = {"model_type": model_type, "mode": mode, "key": key, "features": features, "label": label, "min_positive_proportion": 0.01, "max_positive_proportion": 0.5, "min_samples": 30, "min_positive_samples": 10, "max_num_partitions": 100, "random_state": 42, "pca": None, "portfolio": None, "force": model_type == "logistic_regression"} | PRESETS[mode] | options
         self.models: list[Linear | Forest] = []
         self.seconds: float | None = None  # of the last fit
 
@@ -119,24 +122,30 @@ class BinaryClassifier:
         own = {k: s[k] for k in ("trees", "max_features", "leaves", "max_depth", "test_size") if k in s}
         return replace(Options(num_trials=s["num_trials"], num_splits=s["num_splits"], pca=s["pca"], seed=s["random_state"], shape=s["model_type"]), **own)
 
-    def fit(self, df: DataFrame) -> BinaryClassifier:
+    def fit(self, df: DataFrame, tell: Callable[[str, int, int, float], None] | None = None) -> BinaryClassifier:
+        """Fit all partitions; ``tell`` gets (stage, done, total, seconds) as stages go, and ``progress`` keeps them."""
         s = self.settings
+        self.progress = Progress(df.sparkSession, f"fit-{uuid.uuid4().hex[:8]}", tell)
         key, label, features, began = s["key"], s["label"], s["features"], time.perf_counter()
         check_input(df, label=label, key=key)
         rows = df.select(key, label, features).persist()
         try:
-            size = s["max_samples"] or choose_max_samples(rows, key, label, features, s["random_state"])
-            seen = s["min_seen"] or min_seen(rows.count(), size)
-
             def score(made: DataFrame) -> DataFrame:
                 kind = "bernoulli" if is_integer_matrix(rows, key, features).first()["integral"] else "gaussian"
                 return candidate_scores(made, rows, key, label, features, kind=kind, seed=s["random_state"])
 
-            parts = partitions(rows, key, label, least=s["min_positive_proportion"], most=s["max_positive_proportion"], max_samples=size, min_samples=s["min_samples"], min_positives=s["min_positive_samples"], max_partitions=s["max_num_partitions"], least_seen=seen, force=s["force"], seed=s["random_state"], score=score).persist()
-            options = self.options()
-            pooled = pool(rows, parts, key, label, features, splits(options))
-            made = MODELS[s["model_type"]](pooled, options, VOTES)
+            with self.progress.stage("partitions"):
+                size = s["max_samples"] or choose_max_samples(rows, key, label, features, s["random_state"])
+                seen = s["min_seen"] or min_seen(rows.count(), size)
+                parts = partitions(rows, key, label, least=s["min_positive_proportion"], most=s["max_positive_proportion"], max_samples=size, min_samples=s["min_samples"], min_positives=s["min_positive_samples"], max_partitions=s["max_num_partitions"], least_seen=seen, force=s["force"], seed=s["random_state"], score=score).persist()
+                options = self._first(rows)
+                pooled = pool(rows, parts, key, label, features, splits(options))
+            with self.progress.stage("models", len(pooled.parts)):
+                made = MODELS[s["model_type"]](pooled, options, VOTES)
             self.models = [made[part] for part in sorted(made)]
+            if s["portfolio"] and s["model_type"] == "random_forest" and options.num_trials:
+                found = max((m.recorded for m in self.models), key=lambda r: np.mean(r["held_out"]))
+                remember(df.sparkSession, s["portfolio"], meta_features(rows, label, features), {k: found[k] for k in ("trees", "max_features", "leaves")})
             pooled.rows.unpersist()
             parts.unpersist()
             self.seconds = time.perf_counter() - began
@@ -144,6 +153,14 @@ class BinaryClassifier:
         finally:
             rows.unpersist()
 
+    def _first(self, rows: DataFrame) -> Options:
+        """The options, for a forest with the first parameters of the nearest table of the portfolio, if one is named."""
+        s, options = self.settings, self.options()
+        if not s["portfolio"] or s["model_type"] != "random_forest":
+            return options
+        found = nearest(rows.sparkSession, s["portfolio"], meta_features(rows, s["label"], s["features"]))
+        return replace(options, **found) if found else options
+
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """``df`` with p0 and p1; one scan, all models row by row, so it serves streams as well."""
         if not self.models:

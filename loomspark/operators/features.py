@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -42,14 +44,22 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_all") / (2 * F.col("n"))).alias("weight"))  # one row of two
 
 
-def slot_counts(df: DataFrame, slots: Column, keep: list[str], most: int = 255) -> DataFrame:
-    """(keep, j, v): each slot number of a row's array and how often it occurs, ``most`` at most, counted within the row."""
-    ordered = df.select(*keep, F.array_sort(slots).alias("_s"))
-    border = lambda i: (i == F.size("_s")) | (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))
-    cut = ordered.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_s")), border))
-    runs = F.transform(F.slice("_at", 1, F.size("_at") - 1), lambda i, k: F.struct(F.get("_s", i).alias("j"), F.least(F.get("_at", k + 1) - i, F.lit(most)).cast("int").alias("v")))
-    return cut.select(*keep, F.inline(runs))
+def slot_counts(df: DataFrame, items: Column, slot: Callable[[Column], Column], keep: list[str], most: int = 255) -> DataFrame:
+    """(keep, j, v): for each row the slot numbers of its items and how often each occurs, ``most`` at most.
+
+    Items are exploded so that slots are computed by compiled code; a row's counts are added up where the row is before the shuffle.
+    """
+    each = df.select(F.monotonically_increasing_id().alias("_row"), *keep, items.alias("_items")).select("_row", *keep, F.explode("_items").alias("_item"))
+    counted = each.select("_row", *keep, slot(F.col("_item")).alias("j")).groupBy("_row", *keep, "j").agg(F.count("*").alias("v"))
+    return counted.select(*keep, "j", F.least("v", F.lit(most)).cast("int").alias("v"))
 
 
 def vectors(df: DataFrame, features: str, name: str = "x") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.transform(features, lambda v: v.cast("double"))))
+
+
+def dense_counts(df: DataFrame, items: Column, slot: Callable[[Column], Column], key: str, width: int, most: int = 255, name: str = "counts") -> DataFrame:
+    """(key, counts): how often each slot 0 to ``width`` - 1 occurs in a row, ``most`` at most; keys are unique."""
+    held = slot_counts(df, items, slot, [key], most).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_m"))  # ``width`` entries at most
+    full = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)))
+    return df.select(key).join(held, key, "left").select(key, full.alias(name))

@@ -95,3 +95,6 @@ def chunk_ids(df: DataFrame, groups: list[str], order: str, size: int) -> DataFr
     return out.withColumn("chunk", F.floor(F.col("_rank") / size).cast("long")).drop("_bin", "_one", "_rank")
 
 
+def best(df: DataFrame, value: str, order: str) -> DataFrame:
+    """The row of the greatest value, among equal ones the first by ``order``; nulls are never it."""
+    return df.filter(F.col(value).isNotNull()).orderBy(F.desc(value), order).limit(1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import quota, seeded
@@ -62,6 +62,11 @@ def under_seen(counts: DataFrame, least: int) -> DataFrame:
     return counts.filter(F.col("seen") < least)
 
 
+def enough(seen: str, least: Column) -> Column:
+    """Whether the least seen row has been seen three times as often as asked for."""
+    return F.coalesce(F.col(seen) >= 3 * least, F.lit(True))
+
+
 def coverage(parts: DataFrame, wanting: DataFrame, key: str) -> DataFrame:
     """(partition_id, covered): how many of the wanting rows each partition holds, 0 included."""
     held = parts.join(wanting.select(key), key, "left_semi").groupBy("partition_id").agg(F.count("*").alias("covered"))
@@ -78,21 +83,34 @@ def held_by(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.array_sort(F.collect_set("partition_id")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
 
 
-def greedy_cover(parts: DataFrame, key: str, order: DataFrame, least: int, most: int = 100) -> list[int]:
+def greedy_cover(parts: DataFrame, key: str, rank: Callable[[list[int]], dict[int, tuple]], least: int, most: int = 100, look: int = 64) -> list[int]:
     """Numbers of the accepted partitions, until all rows are seen ``least`` times, none helps, or ``most`` are accepted.
 
-    Rows are reduced to the lists of partitions that hold them once; a pick is one pass over those lists.
+    Each pick takes the partition that covers most rows seen less than ``least`` times; ``rank`` is asked for those that tie and
+    the least rank wins. Rows are reduced to the lists of partitions that hold them once. What a partition covers only
+    falls, so its last known number bounds it from above: a pick counts the ``look`` partitions of the highest bounds at a
+    time, and only those that can still win or tie.
     """
     lists = stored(held_by(parts, key), "held-by")
-    rank = {r["partition_id"]: r["rank"] for r in order.collect()}  # 1000 at most
+    sizes = lists.select("n", F.explode("p").alias("partition_id")).groupBy("partition_id").agg(F.sum("n").alias("n")).collect()  # 1000 at most
+    bound = {r["partition_id"]: r["n"] for r in sizes}
     accepted: list[int] = []
-    while len(accepted) < most:
-        seen = F.size(F.array_intersect("p", F.lit(accepted).cast("array<int>")))
-        rest = lists.filter(seen < least).select("n", F.explode(F.array_except("p", F.lit(accepted).cast("array<int>"))).alias("partition_id"))
-        covered = rest.groupBy("partition_id").agg(F.sum("n").alias("n")).collect()  # 1000 at most
-        if not covered:
+    while len(accepted) < most and bound:
+        exact: dict[int, int] = {} if accepted or least < 1 else dict(bound)
+        while rest := sorted((p for p in bound if p not in exact and bound[p] > 0 and bound[p] >= max(exact.values(), default=0)), key=lambda p: (-bound[p], p))[:look]:
+            ids = F.lit(accepted).cast("array<int>")
+            wanting = lists.filter(F.size(F.array_intersect("p", ids)) < least)
+            held = wanting.select("n", F.explode(F.array_intersect("p", F.lit(rest).cast("array<int>"))).alias("partition_id"))
+            counts = {r["partition_id"]: r["n"] for r in held.groupBy("partition_id").agg(F.sum("n").alias("n")).collect()}  # ``look`` at most
+            for p in rest:
+                exact[p] = bound[p] = counts.get(p, 0)
+        top = max(exact.values(), default=0)
+        if not top:
             return accepted
-        accepted.append(min(covered, key=lambda r: (-r["n"], rank[r["partition_id"]]))["partition_id"])
+        tied = [p for p, n in exact.items() if n == top]
+        ranks = rank(tied) if len(tied) > 1 else {}
+        accepted.append(min(tied, key=lambda p: ranks.get(p, ())))
+        del bound[accepted[-1]]
     return accepted
 
 
@@ -139,9 +157,16 @@ def partitions(df: DataFrame, key: str, label: str, *, least: float = 0.01, most
     rounds = min(1000, max(-(-p * 3 * least_seen // want[1]), -(-(n - p) * 3 * least_seen // max(1, want[0]))))
     made = stored(candidates(rows, key, label, want, rounds, seed), "candidates")
     made = made.join(F.broadcast(distinct_partitions(made, key)), "partition_id", "left_semi")
-    scored = score(made) if score else made.select("partition_id", F.lit(0.5).alias("auroc")).distinct()
-    order = scored.select("partition_id", F.row_number().over(Window.orderBy(F.desc("auroc"), F.desc("partition_id"))).alias("rank"))  # 1000 rows at most
-    chosen = greedy_cover(made, key, order, least_seen, max_partitions)
+    known: dict[int, float] = {}
+
+    def rank(tied: list[int]) -> dict[int, tuple]:
+        """Better scores first, then higher numbers; only partitions that tie are scored, once each."""
+        new = [p for p in tied if p not in known]
+        if new and score:
+            known.update({r["partition_id"]: r["auroc"] for r in score(made.filter(F.col("partition_id").isin(new))).collect()})  # 1000 at most
+        return {p: (-known.get(p, 0.5), -p) for p in tied}
+
+    chosen = greedy_cover(made, key, rank, least_seen, max_partitions)
     kept = made.filter(F.col("partition_id").isin(chosen))
     kept = kept.join(F.broadcast(redundant(jaccard_pairs(kept, key))), "partition_id", "left_anti")
     number = kept.select("partition_id").distinct().withColumn("_new", (F.row_number().over(Window.orderBy(seeded("partition_id", seed))) - 1).cast("int"))

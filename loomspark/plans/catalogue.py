@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars as S
-from loomspark.models import benchmark as B
 from loomspark.models import forest as T
 from loomspark.models import linear as L
 from loomspark.models.base import forest_rows
@@ -125,11 +124,6 @@ def q_min_seen(s: SparkSession, d: str) -> DataFrame:
     return _by_size(s, d, "partitions long, seen long", lambda n, m: (S.min_partitions(n, m), S.min_seen(n, m)))
 
 
-@query("SELECT CAST(least(10000 + 22500 * i, 100000) AS BIGINT) AS size FROM range(5) AS t(i)")
-def q_step_grid(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(x,) for x in S.step_grid()], "size long")
-
-
 @query("SELECT 'partition_' || lpad(CAST(label AS VARCHAR), 3, '0') AS name, count(*) AS n FROM embeddings GROUP BY ALL")
 def q_partition_names(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").groupBy(S.partition_name(F.col("label")).alias("name")).agg(F.count("*").alias("n"))
@@ -296,11 +290,6 @@ def q_candidate_scores(s: SparkSession, d: str) -> DataFrame:
     return Q.candidate_scores(made, rows, "vec_id", "y", "embedding").select("partition_id", F.round("auroc", 6).alias("auroc"))
 
 
-@query()
-def q_partitions(s: SparkSession, d: str) -> DataFrame:
-    return P.partitions(orders(s, d), "o_orderkey", "y", max_samples=5000)
-
-
 # ---- gathers
 
 
@@ -502,21 +491,10 @@ def q_majority_vote(s: SparkSession, d: str) -> DataFrame:
     return M.majority_vote(_model_scores(s, d), "vec_id")
 
 
-@query("""
-WITH a AS (SELECT * FROM (VALUES ('ames', 0.5), ('dili', 0.75), ('other', 0.9)) AS t(task, left_score)), b AS (SELECT * FROM (VALUES ('dili', 0.25), ('herg', 1.0)) AS t(task, right_score)),
-c AS (SELECT * FROM (VALUES ('ames', 0.871, 0.002), ('dili', 0.925, 0.005), ('herg', 0.880, 0.002)) AS t(task, mean, std))
-SELECT task, CAST(left_score AS DOUBLE) AS left_score, CAST(right_score AS DOUBLE) AS right_score, CAST(mean AS DOUBLE) AS mean, CAST(std AS DOUBLE) AS std FROM a FULL JOIN b USING (task) JOIN c USING (task) ORDER BY task
-""")
-def q_task_table_outer(s: SparkSession, d: str) -> DataFrame:
-    made = lambda rows: s.createDataFrame(rows, "task string, score double")
-    return B.against_leaderboard(made([("ames", 0.5), ("dili", 0.75), ("other", 0.9)]), made([("dili", 0.25), ("herg", 1.0)]), B.leaderboard(s))
-
-
 @query("WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents) SELECT doc_id, CAST(CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) % 2048 AS INTEGER) AS j, CAST(least(count(*), 255) AS INTEGER) AS v FROM w GROUP BY ALL")
 def q_count_fingerprint(s: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 2048).cast("int"))
-    return X.slot_counts(table(s, d, "documents"), slots, ["doc_id"])
+    return X.slot_counts(table(s, d, "documents"), words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 2048).cast("int"), ["doc_id"])
 
 
 @query("""

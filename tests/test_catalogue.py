@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from loomspark.plans import wider
 from loomspark.plans.catalogue import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,6 +25,11 @@ def test_equals_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(repr, want.select(*order).fetchall()))
 
 
+@pytest.mark.parametrize("name", [n for n in dir(wider) if n.startswith("q_")])
+def test_wider_catalogue_equals_sql(spark, duck, name):
+    test_equals_sql(spark, duck, name)
+
+
 def test_covariance_takes_the_whole_width(spark, duck):
     got = {(r.i, r.j): r.cov for r in QUERIES["q_covariance_full"](spark, FOLDER).collect()}
     want = {(i, j): cov for i, j, cov in duck.sql(SQL["q_covariance_full"]).select("i", "j", "cov").fetchall()}

@@ -67,7 +67,12 @@ def test_greedy_cover_equals_plain_picks(spark, seed):
     r = random.Random(seed)
     held = {p: {k for k in range(60) if r.random() < 0.3} for p in range(12)}
     parts = spark.createDataFrame([(p, k) for p, ks in held.items() for k in ks], "partition_id int, k long")
-    order = spark.createDataFrame([(p, (p * 5 + seed) % 12) for p in held], "partition_id int, rank int")
+    asked = []
+
+    def rank(tied):
+        asked.append(tied)
+        return {p: ((p * 5 + seed) % 12,) for p in tied}
+
     for least in (1, 2):
         want, seen = [], dict.fromkeys(range(60), 0)
         while len(want) < 100:
@@ -78,7 +83,25 @@ def test_greedy_cover_equals_plain_picks(spark, seed):
             want.append(best)
             for k in held[best]:
                 seen[k] += 1
-        assert P.greedy_cover(parts, "k", order, least) == want
+        for look in (1, 3, 64):
+            asked.clear()
+            assert P.greedy_cover(parts, "k", rank, least, look=look) == want
+            assert all(len(tied) > 1 for tied in asked)
+
+
+def test_only_ties_are_scored(spark):
+    scored = []
+
+    def score(made):
+        ids = sorted(r.partition_id for r in made.select("partition_id").distinct().collect())
+        scored.append(ids)
+        return spark.createDataFrame([(i, 0.5 + i / 1000) for i in ids], "partition_id int, auroc double")
+
+    rows = frame(spark, 400, 4).persist()
+    got = P.partitions(rows, "k", "y", max_samples=120, min_positives=10, score=score)
+    assert {r.k for r in got.collect()} == set(range(400))
+    flat = [i for ids in scored for i in ids]
+    assert flat and len(flat) == len(set(flat))
 
 
 def test_jaccard_and_redundancy(spark):
