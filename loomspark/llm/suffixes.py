@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.text import chunks, in_arrow, mix
+from loomspark.llm.text import chunks, groups_for, in_arrow, mix
 
 LENGTH = 50
 GRAM = 16
@@ -387,7 +387,7 @@ def with_spans(docs: DataFrame, finish, schema: str | T.StructType, *, key: str
     """
     if length < GRAM:
         raise ValueError(f"strings have {GRAM} bytes at least")
-    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups_for(docs, text)
     buckets = BUCKETS * groups
     rows = _rows(docs, key, text, groups)
     blocks = lambda t: t.column("block").to_pylist()

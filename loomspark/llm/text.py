@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomspark.sources.stored import shared_folder, stored  # noqa: F401  used by the operators
@@ -135,6 +136,15 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def groups_for(docs: DataFrame, text: str, per: int = 1 << 25) -> int:
+    """How many groups of documents to make: by bytes of text, ``per`` for each, and one for each shuffle partition at least.
+
+    Groups that are held whole then do not grow with the input, whatever the number of partitions is set to.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per))
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``df.mapInArrow``, with the session's Arrow batches held to ``BATCH`` bytes: a task's memory then follows bytes, not rows."""
     spark = df.sparkSession

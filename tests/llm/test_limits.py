@@ -1,8 +1,10 @@
+import random
 import time
 
 import pytest
 
-from loomspark.llm import pii, quality, queries, tokens, toxicity, warc
+from loomspark.llm import passages, pii, quality, queries, suffixes, tokens, toxicity, warc
+from loomspark.llm.text import groups_for
 
 M = 1_000_000
 TEXTS = {
@@ -56,3 +58,22 @@ def test_any_arrow_setting(spark, size):
         assert pii.digest(df).first().n_email == 1
     finally:
         spark.conf.set(name, before)
+
+
+def test_groups_follow_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(64)], "doc_id long, text string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert groups_for(df, "text") == least and groups_for(df, "text", per=1000) == 64 and groups_for(df.limit(0), "text") == least
+
+
+def test_results_do_not_depend_on_the_number_of_groups(spark, monkeypatch):
+    r = random.Random(2)
+    words = [f"{r.choice('bcdfg')}{i}" for i in range(900)]
+    shared = " ".join(r.choice(words) for _ in range(70))
+    rows = [(i, " ".join(r.choice(words) for _ in range(60)) + (" " + shared if i % 3 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: (sorted(map(tuple, suffixes.digest(df).collect())), sorted(map(tuple, passages.near_duplicate_passages(df).collect())))
+    few = run()
+    for module in (suffixes, passages):
+        monkeypatch.setattr(module, "groups_for", lambda docs, text: 37)
+    assert run() == few and len(few[1]) >= 19 and sum(x[2] > 0 for x in few[0]) == 19
