@@ -74,6 +74,10 @@ def test_results_do_not_depend_on_the_number_of_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     run = lambda: (sorted(map(tuple, suffixes.digest(df).collect())), sorted(map(tuple, passages.near_duplicate_passages(df).collect())))
     few = run()
+    reached = {}
+    for doc, *_, component in few[1]:  # all hold one passage, whose first document is 0
+        reached[doc] = component
+    assert set(reached.values()) == {0} and len(reached) == 19
     for module in (suffixes, passages):
         monkeypatch.setattr(module, "groups_for", lambda docs, text: 37)
     assert run() == few and len(few[1]) >= 19 and sum(x[2] > 0 for x in few[0]) == 19
