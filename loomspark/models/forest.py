@@ -32,7 +32,7 @@ BINS = 64
 #: Rows of a partition from which edges of bins are taken, about.
 SAMPLE = 4000
 #: Trees that are grown side by side.
-TREES = 2000
+TREES = 400
 #: Depth that no tree passes: places of nodes are 64-bit numbers.
 DEEPEST = 60
 
@@ -79,13 +79,13 @@ def weights(h: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (own >> np.uint64(11)).astype(np.float64) / 2**53, "right")
 
 
-def looked_at(seed: int, tree: int, node: int, width: int, n: int) -> np.ndarray:
-    """The features that a node looks at, ascending."""
+def looked_at(seed: int, tree: int, nodes: list[int], width: int, n: int) -> np.ndarray:
+    """The features that each node looks at, a row of ascending numbers for each."""
     if n >= width:
-        return np.arange(width)
-    base = mixed(mixed(np.uint64(node)) ^ mixed(np.uint64((seed % 2**32) * 1_000_003 + tree + 1)) ^ np.uint64(0x5851F42D4C957F2D))
-    order = mixed(mixed(np.arange(width, dtype=np.uint64) + np.uint64(1)) ^ base)
-    return np.sort(np.argsort(order, kind="stable")[:n])
+        return np.tile(np.arange(width), (len(nodes), 1))
+    base = mixed(mixed(np.array(nodes, np.uint64)) ^ mixed(np.uint64((seed % 2**32) * 1_000_003 + tree + 1)) ^ np.uint64(0x5851F42D4C957F2D))
+    order = mixed(mixed(np.arange(width, dtype=np.uint64) + np.uint64(1))[None] ^ base[:, None])
+    return np.sort(np.argsort(order, axis=1, kind="stable")[:, :n], axis=1)
 
 
 # ---- bins
@@ -237,23 +237,27 @@ def descend(flat: tuple, bins: np.ndarray) -> np.ndarray:
     return at
 
 
-def _best(hist: np.ndarray, features: np.ndarray, balance: tuple[float, float]) -> tuple | None:
-    """The best split of a node by counts (feature, bin, label): gain, feature, bin, counts left and right; None without one."""
-    whole = hist[0].sum(0)
-    left = np.cumsum(hist, axis=1)[:, :-1]
-    right = whole - left
-    parts = [c * np.array(balance) for c in (left, right)]
-    mass = [w.sum(-1) for w in parts]
+def best_splits(hist: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of nodes' counts (node, feature, bin, label): gain (-inf without a split), place of the feature, bin, counts on the left.
+
+    ``balance`` is each node's weight of the labels.
+    """
+    whole = hist[:, 0].sum(1)
+    left = np.cumsum(hist, axis=2)[:, :, :-1]
+    w_all = whole * balance
+    w_left = left * balance[:, None, None]
+    w_right = w_all[:, None, None] - w_left
+    n_left, n_all = left.sum(-1), whole.sum(-1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = sum((w**2).sum(-1) / m for w, m in zip(parts, mass, strict=True))
-    gain[(left.sum(-1) == 0) | (right.sum(-1) == 0)] = -np.inf
-    at = int(np.argmax(gain))
-    f, b = divmod(at, gain.shape[1])
-    if not np.isfinite(gain[f, b]):
-        return None
-    w = whole * np.array(balance)
-    counts = lambda c: tuple(int(x) for x in c[f, b])
-    return float(gain[f, b] - (w**2).sum() / w.sum()), int(features[f]), b, counts(left), counts(right)
+        gain = (w_left**2).sum(-1) / w_left.sum(-1) + (w_right**2).sum(-1) / w_right.sum(-1)
+        gain[(n_left == 0) | (n_left == n_all[:, None, None])] = -np.inf
+        flat = gain.reshape(len(hist), -1)
+        # of splits that are equal but for rounding the first
+        top = flat.max(1)
+        at = (flat >= top[:, None] - 1e-9 * np.maximum(1, np.abs(top[:, None]))).argmax(1)
+        f, b = np.divmod(at, gain.shape[2])
+        rows = np.arange(len(hist))
+        return np.where(np.isfinite(top), gain[rows, f, b] - (w_all**2).sum(-1) / w_all.sum(-1), -np.inf), f, b, left[rows, f, b]
 
 
 def _round(d: Binned, problems: list[Grow], trees: dict[tuple[int, int], Tree], wanted: dict[tuple[int, int], list[int]]) -> None:
@@ -289,7 +293,7 @@ def _round(d: Binned, problems: list[Grow], trees: dict[tuple[int, int], Tree],
                     continue
                 n = q.looked_at(width[part])
                 if (j, tree) not in drawn:
-                    drawn[j, tree] = np.array([looked_at(q.seed, tree, node, width[part], n) for node in nodes])
+                    drawn[j, tree] = looked_at(q.seed, tree, nodes, width[part], n)
                 features, own = drawn[j, tree], slot[at]
                 cell = ((own[:, None] * n + np.arange(n)) * BINS + bins[at[:, None], features[own]]) * 2 + y[at][:, None]
                 counts = np.bincount(cell.ravel(), np.repeat(w[at], n), len(nodes) * n * BINS * 2).reshape(len(nodes), -1)
@@ -307,15 +311,24 @@ def _round(d: Binned, problems: list[Grow], trees: dict[tuple[int, int], Tree],
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for j, tree, node, v in zip(*[b.column(i).to_pylist() for i in range(3)], b.column(3), strict=True):
-                q = problems[j]
-                features = looked_at(q.seed, tree, node, width[q.part], q.looked_at(width[q.part]))
-                hist = v.values.to_numpy().reshape(len(features), BINS, 2)
-                whole = hist[0].sum(0)
-                balance = balances[j, tree] or _balance(whole, q.balanced)
-                found = _best(hist, features, balance) if whole.min() > 0 else None
-                rows.append((j, tree, node, int(whole[0]), int(whole[1]), *((found[0], found[1], found[2], *found[3], *found[4]) if found else (None,) * 7)))
+            own = list(zip(*[b.column(i).to_pylist() for i in range(3)], strict=True))
+            sizes = [problems[j].looked_at(width[problems[j].part]) for j, _, _ in own]
+            rows: list[tuple] = [()] * len(own)
+            for n in sorted(set(sizes)):
+                at = [i for i, s in enumerate(sizes) if s == n]
+                for k in range(0, len(at), 512):
+                    part = at[k : k + 512]
+                    hist = doubles(b.column(3).take(pa.array(part))).reshape(len(part), n, BINS, 2)
+                    whole = hist[:, 0].sum(1)
+                    balance = np.array([balances[own[i][:2]] or _balance(c, problems[own[i][0]].balanced) for i, c in zip(part, whole, strict=True)])
+                    gain, f, cut, left = best_splits(hist, balance)
+                    for x, i in enumerate(part):
+                        j, tree, node = own[i]
+                        rows[i] = (j, tree, node, int(whole[x, 0]), int(whole[x, 1]), *([None] * 7))
+                        if whole[x].min() > 0 and np.isfinite(gain[x]):
+                            feature = int(looked_at(problems[j].seed, tree, [node], width[problems[j].part], n)[0, f[x]])
+                            right = whole[x] - left[x]
+                            rows[i] = (*rows[i][:5], float(gain[x]), feature, int(cut[x]), *(int(v) for v in (*left[x], *right)))
             kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 6
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["j", "tree", "node", "c0", "c1", "gain", "feature", "bin", "l0", "l1", "r0", "r1"])
 
