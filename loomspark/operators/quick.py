@@ -35,15 +35,19 @@ def _training(rows: DataFrame, label: str, groups: list[str]) -> DataFrame:
     return total.select(*groups, "fold", label, "n", vector_to_array("s").alias("s"), vector_to_array("q").alias("q"))
 
 
-def fold_scores(df: DataFrame, key: str, label: str, features: str, *, kind: str = "gaussian", k: int = 5, seed: int | str = 42, alpha: float = 1.0, groups: list[str] | None = None) -> DataFrame:
-    """(groups, key, fold, label, score): difference of the classes' log-likelihoods by the model of the other folds."""
+def fold_scores(df: DataFrame, key: str, label: str, features: str, *, kind: str = "gaussian", k: int = 5, seed: int | str = 42, alpha: float = 1.0, groups: list[str] | None = None, about: list[float] | None = None) -> DataFrame:
+    """(groups, key, fold, label, score): difference of the classes' log-likelihoods by the model of the other folds.
+
+    ``about``: any vector near the features, their mean by default.
+    """
     groups = groups or []
     if kind == "auto":
         kind = "bernoulli" if is_integer_matrix(df, key, features).first()["integral"] else "gaussian"
     if kind == "bernoulli":
         x = F.transform(features, lambda v: (v > 0).cast("double"))
     else:
-        x = F.zip_with(features, F.lit(centre(df, features).tolist()), lambda v, c: v.cast("double") - c)
+        about = centre(df, features).tolist() if about is None else about
+        x = F.zip_with(features, F.lit(about), lambda v, c: v.cast("double") - c)
     placed = stratified_folds(df.select(*groups, key, label, features), key, label, k, seed, groups).withColumn("_x", x).drop(features)
     t = _training(placed, label, groups)
     of = lambda c: F.max(F.when(F.col(label) == c, F.struct("n", "s", "q")))
@@ -85,5 +89,7 @@ def candidate_scores(candidates: DataFrame, df: DataFrame, key: str, label: str,
     A candidate without both classes in every fold has 0.5.
     """
     rows = candidates.join(df.select(key, features), key)
+    if options.get("kind", "gaussian") != "bernoulli":
+        options["about"] = centre(df, features).tolist()  # of the table, not of all candidates' rows
     scored = quick_auroc(rows, key, label, features, groups=["partition_id"], **options).groupBy("partition_id").agg(F.avg("auroc").alias("auroc"))
     return candidates.select("partition_id").distinct().join(scored, "partition_id", "left").select("partition_id", F.coalesce("auroc", F.lit(0.5)).alias("auroc"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +16,17 @@ from loomspark.operators import metrics as M
 from loomspark.operators import sampling as P
 from loomspark.plans.catalogue import _CAND, _DRAW2, _SEEN, EMB, ORD, _candidates, _draws, _seen, emb, orders, query
 from loomspark.sources.rows import gather_rows, write_matrix
-from loomspark.sources.stored import shared_folder
+from loomspark.sources.stored import new_folder
 from loomspark.sources.tables import labelled_csv, read_json, table, write_json, write_predictions
 
 
-def _place(s: SparkSession, name: str) -> str:
-    return f"{shared_folder(s)}/tables/{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- sources and sinks
 
 
 @query("SELECT o_orderpriority || ', \"' || o_orderstatus || '\"' AS drug, CAST(o_orderstatus = 'F' AS DOUBLE) AS y, round(o_totalprice, 2) AS pred FROM orders")
 def q_csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Predictions written as CSV, quotes and commas in their strings, and read back with the fixed schema."""
-    path = _place(s, "csv")
+    path = new_folder(s, "csv")
     rows = table(s, d, "orders").select(F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')).alias("drug"), (F.col("o_orderstatus") == "F").cast("double").alias("y"), F.round(F.col("o_totalprice").cast("double"), 2).alias("pred"))
     write_predictions(rows, path)
     return labelled_csv(s, path, predicted=True).select("drug", "y", "pred")
@@ -41,7 +35,7 @@ def q_csv_round_trip(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderstatus AS key, count(*) AS n FROM orders GROUP BY ALL")
 def q_json_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Results written as one JSON object and read back."""
-    path = _place(s, "json")
+    path = new_folder(s, "json")
     write_json(s, {r["o_orderstatus"]: r["n"] for r in table(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).collect()}, path)  # a row a status
     return s.createDataFrame(sorted(read_json(s, path).items()), "key string, n long")
 
@@ -49,7 +43,7 @@ def q_json_round_trip(s: SparkSession, d: str) -> DataFrame:
 @query("WITH m AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, embedding FROM embeddings) SELECT i AS pos, row_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM range(200) AS r(i) JOIN m ON row_id = i * 7 % 97")
 def q_matrix_gather(s: SparkSession, d: str) -> DataFrame:
     """Rows of a matrix of ``.npy`` parts by their numbers, some of them twice; only their ranges are read."""
-    path = _place(s, "matrix")
+    path = new_folder(s, "matrix")
     write_matrix(table(s, d, "embeddings"), path, key="vec_id", features="embedding", rows=10_000)
     wanted = s.range(200).select(F.col("id").alias("pos"), (F.col("id") * 7 % 97).alias("row_id"))
     return gather_rows(s, path, wanted).select("pos", "row_id", F.round(F.element_at("features", 1), 6).alias("first"), F.round(F.element_at("features", 64), 6).alias("last"))
