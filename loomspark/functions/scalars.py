@@ -98,3 +98,8 @@ def partition_name(i: Column) -> Column:
 
 def logistic(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
+
+
+def gigabytes(n: Column) -> Column:
+    """Bytes as units of 2**30."""
+    return n / F.lit(float(1 << 30))

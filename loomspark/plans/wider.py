@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from loomspark.models.descriptors import Descriptor
 from loomspark.models.ensemble import BinaryClassifier, mean_score
 from loomspark.models.linear import Linear
 from loomspark.operators import features as X
+from loomspark.operators import folds as K
 from loomspark.operators import metrics as M
 from loomspark.operators import sampling as P
-from loomspark.plans.catalogue import _CAND, _DRAW2, _SEEN, EMB, ORD, _candidates, _draws, _seen, emb, orders, query
+from loomspark.plans.catalogue import SQL, _CAND, _DRAW2, _SEEN, EMB, ORD, _candidates, _draws, _seen, emb, orders, query
 from loomspark.sources.rows import gather_rows, write_matrix
 from loomspark.sources.stored import new_folder
 from loomspark.sources.tables import labelled_csv, read_json, table, write_json, write_predictions
@@ -207,10 +209,11 @@ SELECT vec_id, round(avg(1 / (1 + exp(-(z + 0.25 * m)))), 8) AS p1 FROM p GROUP
 """)
 def q_linear_ensemble(s: SparkSession, d: str) -> DataFrame:
     """The mean probability of three logistic regressions with given weights, in one scan."""
-    import numpy as np
+    return table(s, d, "embeddings").select("vec_id", F.round(mean_score(_linear_models(), "embedding"), 8).alias("p1"))
 
-    models = [Linear(np.array([((j * 7 + m) % 5 - 2) / 2 for j in range(64)]), 0.25 * m, {}) for m in range(3)]
-    return table(s, d, "embeddings").select("vec_id", F.round(mean_score(models, "embedding"), 8).alias("p1"))
+
+def _linear_models() -> list[Linear]:
+    return [Linear(np.array([((j * 7 + m) % 5 - 2) / 2 for j in range(64)]), 0.25 * m, {}) for m in range(3)]
 
 
 @query(f"WITH {EMB.format(8)}, n AS (SELECT count(*) AS n FROM e WHERE y IS NOT NULL) SELECT stage, CAST(done AS INTEGER) AS done, CAST(total AS INTEGER) AS total FROM n, (VALUES ('partitions', 0, 1), ('partitions', 1, 1), ('models', 0, 1), ('models', 1, 1)) AS t(stage, done, total) WHERE n > 0")
@@ -219,3 +222,33 @@ def q_fit_progress(s: SparkSession, d: str) -> DataFrame:
     rows = emb(s, d, 8)
     model = BinaryClassifier("logistic_regression", "quick", key="vec_id", features="embedding", pca=False, force=False, max_positive_proportion=0.9, max_samples=10**9).fit(rows)
     return model.progress.frame().select("stage", "done", "total")
+
+
+@query(f"""
+WITH {EMB.format(5)}, k AS (SELECT CAST(p AS INTEGER) AS partition_id, vec_id, y FROM e, range(3) AS r(p) WHERE (vec_id + p) % 4 > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY partition_id, y ORDER BY md5(concat(vec_id, '|7')), vec_id) - 1 AS rn, round_even(count(*) OVER (PARTITION BY partition_id, y) * 0.25::DOUBLE, 0) AS size FROM k)
+SELECT partition_id, vec_id, y, rn < size AS held_out FROM r
+""")
+def q_partition_holdout(s: SparkSession, d: str) -> DataFrame:
+    """A hold-out part of each label of each partition, all partitions at once."""
+    p = F.col("id").cast("int")
+    rows = emb(s, d).select("vec_id", "y").crossJoin(F.broadcast(s.range(3)))  # three rows
+    parts = rows.filter((F.col("vec_id") + F.col("id")) % 4 > 0).select(p.alias("partition_id"), "vec_id", "y")
+    return K.holdout(parts, "vec_id", "y", seed=7, groups=["partition_id"]).select("partition_id", "vec_id", "y", "held_out")
+
+
+@query(SQL["q_linear_ensemble"])
+def q_saved_ensemble(s: SparkSession, d: str) -> DataFrame:
+    """The ensemble of ``q_linear_ensemble`` saved, loaded, and asked for its probabilities."""
+    path = new_folder(s, "ensemble")
+    made = BinaryClassifier("logistic_regression", "quick", key="vec_id", features="embedding")
+    made.models = _linear_models()
+    made.save(s, path)
+    scored = BinaryClassifier.load(s, path).predict_proba(table(s, d, "embeddings").select("vec_id", "embedding"))
+    return scored.select("vec_id", F.round("p1", 8).alias("p1"))
+
+
+@query("SELECT lang, round(sum(strlen(text)) / 1073741824, 12) AS gigabytes, count(*) AS n FROM documents GROUP BY ALL")
+def q_gigabytes(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"))
+    return docs.select("lang", F.round(S.gigabytes(F.col("bytes")), 12).alias("gigabytes"), "n")
