@@ -288,6 +288,14 @@ def test_exact_dedup_tells_texts_of_one_digest_apart(spark, tmp_path):
     assert weak.state().count() < 14 and got == want
 
 
+def test_exact_dedup_of_a_single_file_and_of_spaces(spark, tmp_path):
+    rows = ODD[:6]
+    write(spark, rows, tmp_path / "all of it")
+    assert sorted(map(repr, map(tuple, exact.digest(spark, str(tmp_path / "all of it")).collect()))) == brute_exact(rows)
+    one = next((tmp_path / "all of it").glob("part-*.parquet")).rename(tmp_path / "one file.parquet")
+    assert sorted(map(repr, map(tuple, exact.digest(spark, str(one)).collect()))) == brute_exact(rows)
+
+
 def test_exact_dedup_has_no_python(spark, tmp_path):
     write(spark, ODD, tmp_path / "d")
     plan = exact.digest(spark, str(tmp_path / "d"))._jdf.queryExecution().toString()
