@@ -381,7 +381,7 @@ def test_passages_do_not_depend_on_which_side_is_longer():
     longer = w[:42] + [f"x{i}" for i in range(10)] + w[42:]
     for a, b in ((w, longer), (longer, w)):
         span = {"low": 0, "high": len(b) - 5, "at": [0, len(b) - 5], "shift": [0, len(a) - len(b)]}
-        got = passages._verified(passages._shingles(" ".join(b).encode()), passages._shingles(" ".join(a).encode()), [span], 46, 80)
+        got = passages._verified(*passages._shingled([" ".join(x).encode() for x in (b, a)]), [span], 46, 80)
         assert [(x, y, u, v) for x, y, u, v, _ in got] == [(0, len(b) - 4, 0, len(a) - 4)] and got[0][4] == 76 / 94
 
 
