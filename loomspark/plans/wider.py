@@ -186,13 +186,15 @@ def q_dense_fingerprint(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, CAST(least(p_size % 40 + 2, 255) AS BIGINT) AS atoms, CAST(p_size % 40 + 2 > 2 AS BOOLEAN) AS longer FROM part")
 def q_fingerprint_atoms(s: SparkSession, d: str) -> DataFrame:
     """Fingerprints of alcohols whose chains have p_size % 40 + 1 carbons: at radius 0 one count an atom, and chains of the
-    same atoms written the other way round are the same."""
+    same atoms written the other way round are the same. A molecule is described once, however many parts are made of it."""
     chain = F.repeat(F.lit("C"), (F.col("p_size") % 40 + 1).cast("int"))
     rows = table(s, d, "part").select("p_partkey", F.concat(chain, F.lit("O")).alias("a"), F.concat(F.lit("O"), chain).alias("b"))
-    at = Descriptor("circular", radius=0).transform(rows, "a", "fa")
-    both = Descriptor("circular").transform(Descriptor("circular").transform(at, "a", "ra"), "b", "rb")
+    each = rows.select("a", "b").distinct().repartition(s.sparkContext.defaultParallelism)  # few bytes, long work
     total = F.aggregate("fa", F.lit(0).cast("long"), lambda x, v: x + v)
-    return both.filter("ra = rb").select("p_partkey", total.alias("atoms"), (total > 2).alias("longer"))
+    at = Descriptor("circular", radius=0).transform(each, "a", "fa").select("a", "b", total.alias("atoms"))  # the counts go no further
+    both = Descriptor("circular").transform(Descriptor("circular").transform(at, "a", "ra"), "b", "rb")
+    same = both.filter("ra = rb").select("a", "atoms", (F.col("atoms") > 2).alias("longer"))
+    return rows.join(same, "a").select("p_partkey", "atoms", "longer")
 
 
 @query(f"WITH {EMB.format(5)} SELECT count(*) AS n_rows, max(len(embedding)) AS n_features, round(avg(y), 8) AS positive_share, round(sum(len(list_filter(embedding, lambda x: x = 0))) / sum(len(embedding)), 8) AS zero_share, round(avg(list_stddev_pop(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 6) AS mean_spread FROM e")

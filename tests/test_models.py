@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.models import base, forest, linear
+from loomspark.models import base, descriptors, forest, linear
 from loomspark.models.base import Options, fit_forests, forest_rows, forest_space, logistic, weighted, with_vector
 from loomspark.models.benchmark import against_leaderboard, scores
 from loomspark.models.descriptors import circular, descriptor, molecule
@@ -13,6 +14,7 @@ from loomspark.operators.features import is_integer_matrix
 from loomspark.operators.gram import Gram, centre, covariances, grams, spaces
 from loomspark.operators.metrics import auroc
 from loomspark.operators.quick import fold_scores, quick_auroc, quick_score
+from loomspark.plans import wider
 from loomspark.sources.tables import check_input, labelled_csv, write_predictions
 from loomspark.streaming.score import score_stream
 
@@ -363,6 +365,29 @@ def test_descriptors_in_spark(spark):
     assert sum(words[0]) == 1 and words[2] is None
 
 
+def test_each_different_string_is_described_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(descriptors, "circular", lambda s, radius, width: seen.append(s) or circular(s, radius, width))
+    strings = pa.array(["CCO", "C(", None, "CCN"] * 500)
+    which, counts, known = descriptors._described(strings, 3, 2048)
+    made = descriptors._lists(counts[which], known[which])
+    assert sorted(seen) == ["C(", "CCN", "CCO"]
+    assert made.to_pylist() == [circular("CCO"), None, None, circular("CCN")] * 500
+    df = spark.range(1500, numPartitions=1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("C"), F.repeat(F.lit("O"), (F.col("id") % 3).cast("int")))).alias("drug"))
+    got = {r.id: r.features for r in descriptor("circular").transform(df, "drug").collect()}
+    assert len(got) == 1500 and all(v == (None, circular("CO"), circular("COO"))[i % 3] for i, v in got.items())
+
+
+def test_a_query_describes_different_molecules_only(spark, monkeypatch, tmp_path):
+    """Parts by the thousand, four molecules: fingerprints are those of four rows; each part has its result."""
+    given, plain = [], wider.Descriptor.transform
+    monkeypatch.setattr(wider.Descriptor, "transform", lambda self, df, *names: given.append(df.count()) or plain(self, df, *names))
+    spark.range(3000).select(F.col("id").alias("p_partkey"), (F.col("id") % 4).cast("int").alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    got = wider.q_fingerprint_atoms(spark, str(tmp_path)).collect()
+    assert given == [4, 4, 4]
+    assert sorted(map(tuple, got)) == [(i, i % 4 + 2, i % 4 > 0) for i in range(3000)]
+
+
 def test_integer_matrix(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0 if i < 10 else 0.5]) for i in range(12)], "row_id long, features array<double>")
     assert is_integer_matrix(df, "row_id", "features").first()["integral"]
